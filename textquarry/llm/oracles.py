@@ -27,4 +27,40 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM dw LEFT JOIN covered USING (r) LEFT JOIN found USING (r)
 """
 
-ORACLES: dict[str, str] = {"op6_decontamination": OP6}
+def op2() -> str:
+    """The base counts by windows over exploded words, the ratios from the same table of thresholds."""
+    from textquarry.llm.quality_rules import RULES, STOP_WORDS
+
+    stops = ", ".join("'" + x + "'" for x in dict.fromkeys(STOP_WORDS))
+    tests = []
+    for r in RULES:
+        out = " OR ".join([f"{r.measure} < {r.low!r}"] * (r.low is not None) + [f"{r.measure} > {r.high!r}"] * (r.high is not None))
+        tests.append(f"(n_words >= {r.words} AND ({out}))")
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w,
+             list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+win AS (SELECT r, i, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)),
+rep AS (SELECT r, unnest(range(i, i + 5)) AS p FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM win) WHERE n > 1),
+cov AS (SELECT r, count(DISTINCT p) AS n FROM rep GROUP BY r),
+c AS (SELECT r, doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
+        len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, len(lines) AS n_lines,
+        len(regexp_extract_all(text, '[|]')) AS n_bars, len(regexp_extract_all(text, '!')) AS n_exclamations,
+        len(regexp_extract_all(text, '\p{{Lu}}')) AS n_upper, len(regexp_extract_all(text, '\p{{Ll}}')) AS n_lower,
+        len(list_distinct(list_transform(w, lambda x: lower(x)))) AS n_distinct, len(list_filter(w, lambda x: lower(x) IN ({stops}))) AS n_stop_words,
+        len(list_filter(lines, lambda x: regexp_matches(x, '^\s*[-*•]'))) AS n_bullet_lines, len(list_filter(lines, lambda x: regexp_matches(x, '(\.\.\.|…)\s*$'))) AS n_ellipsis_lines
+      FROM w LEFT JOIN cov USING (r)),
+m AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+        coalesce(word_chars / nullif(n_words, 0), 0) AS mean_word_chars, coalesce(n_symbols / nullif(word_chars, 0), 0) AS symbol_share,
+        coalesce(n_bars / nullif(n_words, 0), 0) AS bar_share, coalesce(n_upper / nullif(n_upper + n_lower, 0), 0) AS upper_share,
+        coalesce(n_exclamations / nullif(n_words, 0), 0) AS exclamation_share, coalesce(n_dup_lines / nullif(n_lines, 0), 0) AS dup_line_share,
+        CASE WHEN n_words > 0 THEN 1 - n_distinct / n_words ELSE 0 END AS max_word_share, coalesce(n_stop_words / nullif(n_words, 0), 0) AS stop_share,
+        coalesce(n_bullet_lines / nullif(n_lines, 0), 0) AS bullet_line_share, coalesce(n_ellipsis_lines / nullif(n_lines, 0), 0) AS ellipsis_line_share FROM c)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+       CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+       NOT (base_failed OR {" OR ".join(tests)}) AS kept
+FROM m
+"""
+
+
+ORACLES: dict[str, str] = {"op2_quality_rules": op2(), "op6_decontamination": OP6}
