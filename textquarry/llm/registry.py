@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from textquarry.llm import decontamination, near_duplicates, quality_rules, sharding
+from textquarry.llm import byte_bpe, decontamination, near_duplicates, quality_rules, sharding
 from textquarry.llm.common import table
 from textquarry.llm.oracles import ORACLES  # noqa: F401
 
@@ -27,9 +28,14 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.tokenized(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_sharding": op3_sharding,
     "op6_decontamination": op6_decontamination,
     "op7_near_duplicates": op7_near_duplicates,
+    "op9_byte_bpe": op9_byte_bpe,
 }
