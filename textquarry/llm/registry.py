@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from textquarry.llm import byte_bpe, decontamination, near_duplicates, quality_rules, sharding
+from textquarry.llm import byte_bpe, decontamination, near_duplicates, quality_rules, sharding, warc
 from textquarry.llm.common import table
 from textquarry.llm.oracles import ORACLES  # noqa: F401
 
@@ -32,10 +32,16 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.tokenized(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    directory, folder = warc.archived(spark, table(spark, sf_dir, "pages"))
+    return warc.read_archives(directory, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_sharding": op3_sharding,
     "op6_decontamination": op6_decontamination,
     "op7_near_duplicates": op7_near_duplicates,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_warc": op10_warc,
 }
