@@ -221,7 +221,8 @@ def near_duplicates(docs: DataFrame, *, doc: str = "doc_id", text: str = "text",
     placed = members.join(sizes, "cluster").withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     placed = placed.select("key", "rep", "copies", "cluster", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
-    with_text = placed.join(slim, placed["rep"].eqNullSafe(slim["id"]))
+    # the same plan at every size: small inputs would broadcast the members and hide the texts' shuffle
+    with_text = placed.hint("merge").join(slim, placed["rep"].eqNullSafe(slim["id"]))
     spread = with_text.select("cluster", "i", "j", "key", "copies", "chunk", "txt").repartition(parts(spark), "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
     found, _ = saved(spread.mapInArrow(_verify(gram, threshold), "key binary, root binary, texts long, others long"), "links")
 
