@@ -7,11 +7,15 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from textquarry.llm import byte_bpe, decontamination, near_duplicates, pii, quality_classifier, quality_rules, secrets, sharding, warc
+from textquarry.llm import byte_bpe, decontamination, near_duplicates, pii, quality_classifier, quality_rules, secrets, sharding, toxicity, warc
 from textquarry.llm.common import table
 from textquarry.llm.oracles import ORACLES  # noqa: F401
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents")).drop("failed_rules")
 
@@ -50,6 +54,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_quality_rules": op2_quality_rules,
     "op3_sharding": op3_sharding,
     "op4_pii": op4_pii,
