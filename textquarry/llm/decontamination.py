@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textquarry.llm.words import Words, pieces, text_buffers
 
@@ -178,8 +179,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
     keep = list(keep or [])
     names = [f"c{i}" for i in range(len(keep))]
     df = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)], F.col(f"`{text}`").alias("txt"), F.array().cast("array<long>").alias("spans"), F.array().cast("array<string>").alias("items"))
-    kept = [f"{n} {df.schema[n].dataType.simpleString()}" for n in names]
-    counted = ", ".join([*kept, "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"])
+    counted = T.StructType([df.schema[n] for n in names]).add("n_words", "long").add("n_hit", "long").add("n_items", "long").add("items_sha256", "string").add("contaminated", "boolean")
     found = [spark.sparkContext.broadcast(ItemIndex(b)) for b in blocks(benchmark, item, item_text, block_bytes)] or [spark.sparkContext.broadcast(ItemIndex([]))]
     for i, index in enumerate(found):
         last = i == len(found) - 1
@@ -187,3 +187,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
     for c, n in zip(keep, names, strict=True):
         df = df.withColumnRenamed(n, c)
     return df
+
+
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text") -> DataFrame:
+    """The documents without a hit, with all their columns."""
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("txt"))
+    return decontaminate(whole, benchmark, text="txt", keep=["row"]).filter(~F.col("contaminated")).select("row.*")

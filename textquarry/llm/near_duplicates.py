@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textquarry.llm.common import parts, saved, skewed_left_join
@@ -242,3 +242,18 @@ def near_duplicates(docs: DataFrame, *, doc: str = "doc_id", text: str = "text",
     verdict, _ = saved(verdict, "verdict")
     joined = skewed_left_join(signs.select("id", "key"), verdict, "key", "copies", total)
     return joined.select(F.col("id").alias(doc), "class_id", F.col("copies").alias("n_copies"), "n_text_links", "n_links")
+
+
+def deduplicated(docs: DataFrame, *, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """One document of each group, the one with the group's smallest id, with all columns.
+
+    Of rows that repeat an id and a text one stays. An id stays if any of its rows leads a group; rows without an id
+    lead no group and all stay.
+    """
+    verdict = near_duplicates(docs, doc=doc, text=text).filter(F.col(doc).isNotNull())
+    dropped = verdict.groupBy(F.col(doc).alias("_id")).agg(F.max(F.col(doc) == F.col("class_id")).alias("_leads")).filter(~F.col("_leads"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{doc}`").alias("_id"))
+    left = rows.join(dropped.select("_id"), "_id", "left_anti")
+    left = left.withColumn("_digest", F.md5(F.coalesce(F.col("row").getField(text), F.lit("")).cast("binary")))
+    first = F.row_number().over(Window.partitionBy("_id", "_digest").orderBy(F.lit(0)))
+    return left.withColumn("_n", first).filter("_id is null or _n = 1").select("row.*")

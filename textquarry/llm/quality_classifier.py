@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textquarry.llm.common import fold
 from textquarry.llm.quality_rules import base_measures, more_measures, ratios
@@ -180,7 +181,7 @@ def scored(docs: DataFrame, model: AdditiveModel, keep: list[str], text: str = "
     """keep columns and score."""
     made = features(docs, [F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(f"`{text}`"))
     names = [f"k{i}" for i in range(len(keep))]
-    schema = ", ".join([*(f"{n} {made.schema[n].dataType.simpleString()}" for n in names), "score double"])
+    schema = T.StructType([*(made.schema[n] for n in names), T.StructField("score", T.DoubleType())])
     out = made.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model), names), schema)
     return out.toDF(*keep, "score")
 
