@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 from pathlib import Path
 
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from textquarry.llm.words import pieces
 
 #: Encoded matches a worker remembers, at most; then it starts anew.
-CACHE = 300_000
+CACHE = 500_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -39,14 +40,18 @@ class PrefixEncoder:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.token = {i: t for t, i in ranks.items()}
+        self.size = {i: len(t) for t, i in ranks.items()}
         self.longest = max(map(len, ranks), default=0)
-        by_tail: dict[bytes, set[int]] = {}
-        for t in ranks:
-            if len(t) > 1:
-                by_tail.setdefault(t[-2:], set()).add(len(t))
-        self.lengths = {tail: sorted(found, reverse=True) for tail, found in by_tail.items()}
-        self.fits: dict[tuple[int, int], bool] = {}
-        self.whole: dict[int, bool] = {}
+        #: Pairs (first << 32 | second) of tokens seen so far: whether they encode to themselves.
+        self.fits: dict[int, bool] = {}
+        #: Tokens that merging can make, as a trie over their bytes from the last one on; a node's token is at -1.
+        self.tails: dict = {}
+        for t, i in ranks.items():
+            if len(t) == 1 or self.merged(t) == [i]:
+                node = self.tails
+                for byte in reversed(t):
+                    node = node.setdefault(byte, {})
+                node[-1] = i
 
     def merged(self, data: bytes) -> list[int]:
         """The encoding by definition: again and again the adjacent pair of lowest rank, leftmost first. Used on pairs of tokens only."""
@@ -58,34 +63,57 @@ class PrefixEncoder:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [self.ranks[p] for p in parts]
 
-    def may_start(self, t: int) -> bool:
-        if (found := self.whole.get(t)) is None:
-            found = self.whole[t] = self.merged(self.token[t]) == [t]
-        return found
-
     def may_follow(self, a: int, b: int) -> bool:
-        if (found := self.fits.get((a, b))) is None:
-            if len(self.fits) > 2_000_000:
-                self.fits.clear()
-            found = self.fits[a, b] = self.merged(self.token[a] + self.token[b]) == [a, b]
+        if len(self.fits) > 2_000_000:
+            self.fits.clear()
+        found = self.fits[a << 32 | b] = self.merged(self.token[a] + self.token[b]) == [a, b]
         return found
 
-    def last_token(self, data: bytes | bytearray, end: int, last: list[int]) -> int:
-        """The last token of data[:end], where last[i] is that of data[:i] for 0 < i < end."""
-        for n in self.lengths.get(bytes(data[end - 2 : end]), ()) if end > 1 else ():
-            if n <= end and (t := self.ranks.get(bytes(data[end - n : end]))) is not None:
-                if self.may_start(t) if n == end else self.may_follow(last[end - n], t) and self.may_start(t):
-                    return t
-        return self.ranks[bytes(data[end - 1 : end])]
+    def extend(self, data: bytes | bytearray, last: list[int]) -> None:
+        """last[i] is the last token of data[:i]; appends it for all longer prefixes."""
+        tails, fits = self.tails, self.fits
+        for end in range(len(last), len(data) + 1):
+            node, at, ending = tails, end, []
+            while at and (node := node.get(data[at - 1])) is not None:
+                at -= 1
+                if -1 in node:
+                    ending.append((node[-1], at))
+            for t, at in reversed(ending):
+                if at:
+                    ok = fits.get(last[at] << 32 | t)
+                    if not (self.may_follow(last[at], t) if ok is None else ok):
+                        continue
+                last.append(t)
+                break
+
+    def tokens_of(self, last: list[int]) -> list[int]:
+        out, at, size = [], len(last) - 1, self.size
+        while at:
+            t = last[at]
+            out.append(t)
+            at -= size[t]
+        out.reverse()
+        return out
 
     def encode(self, data: bytes) -> list[int]:
         """The ids of one match of the pattern."""
-        if not data:
-            return []
-        if (t := self.ranks.get(data)) is not None:
-            return [t]
-        state = Prefixes(self, data)
-        return state.ids()
+        return self.encode_sorted([data])[0]
+
+    def encode_sorted(self, matches: list[bytes]) -> list[list[int]]:
+        """The ids of each match; in sorted order, since a match goes on from the prefix that it shares with the one before."""
+        out, last, before = [], [-1], b""
+        for data in matches:
+            if (t := self.ranks.get(data)) is not None:
+                out.append([t])
+                continue
+            same, most = 0, min(len(data), len(before))
+            while same < most and data[same] == before[same]:
+                same += 1
+            del last[same + 1 :]
+            self.extend(data, last)
+            before = data
+            out.append(self.tokens_of(last))
+        return out
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
@@ -100,10 +128,8 @@ class Prefixes:
 
     def append(self, more: bytes) -> None:
         """Only the new prefixes are computed."""
-        begin = len(self.data)
         self.data += more
-        for end in range(begin + 1, len(self.data) + 1):
-            self.last.append(self.encoder.last_token(self.data, end, self.last))
+        self.encoder.extend(self.data, self.last)
 
     def replace(self, begin: int, end: int, by: bytes) -> int:
         """data[begin:end] = by; returns how many prefixes were computed anew.
@@ -115,8 +141,8 @@ class Prefixes:
         self.data[begin:end] = by
         self.last, same, computed = old[: begin + 1], 0, 0
         for at in range(begin + 1, len(self.data) + 1):
-            t = self.encoder.last_token(self.data, at, self.last)
-            self.last.append(t)
+            self.encoder.extend(self.data[:at] if at < len(self.data) else self.data, self.last)
+            t = self.last[at]
             computed += 1
             # a token counts as kept only when it lies wholly behind the new bytes
             same = same + 1 if at > begin + len(by) and old[at - shift] == t else 0
@@ -126,11 +152,7 @@ class Prefixes:
         return computed
 
     def ids(self) -> list[int]:
-        out, at = [], len(self.data)
-        while at:
-            out.append(self.last[at])
-            at -= len(self.encoder.token[self.last[at]])
-        return out[::-1]
+        return self.encoder.tokens_of(self.last)
 
 
 _ENCODERS: dict[str, tuple[PrefixEncoder, dict[str, list[int]], dict[int, str]]] = {}
@@ -150,17 +172,14 @@ def _run(ranks_of, name: str, pattern: str, ids_too: bool):
             for part in pieces(batch, "txt"):
                 column = {n: part.column(i) for i, n in enumerate(part.schema.names)}
                 lists, counts, id_digests, text_digests = [], [], [], []
-                for text in column.pop("txt").to_pylist():
-                    ids: list[int] = []
-                    for match in cut.findall(text or ""):
-                        found = cache.get(match)
-                        if found is None:
-                            if len(cache) >= CACHE:
-                                cache.clear()
-                            found = encoder.encode(match.encode())
-                            if len(match) < 64:
-                                cache[match] = found
-                        ids += found
+                texts = [cut.findall(text or "") for text in column.pop("txt").to_pylist()]
+                known = set().union(*texts)
+                if len(cache) + len(known) > CACHE:
+                    cache.clear()
+                missing = sorted((m.encode(), m) for m in known if m not in cache)
+                cache.update(zip((m for _, m in missing), encoder.encode_sorted([x for x, _ in missing]), strict=True))
+                for matches in texts:
+                    ids = list(chain.from_iterable(map(cache.__getitem__, matches)))
                     counts.append(len(ids))
                     id_digests.append(hashlib.sha256(",".join(map(number.__getitem__, ids)).encode()).hexdigest())
                     text_digests.append(hashlib.sha256(encoder.decode(ids)).hexdigest())
