@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from textquarry.plans import similarity_queries
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**similarity_queries.QUERIES}
+ORACLES: dict[str, str] = {**similarity_queries.ORACLES}

@@ -20,3 +20,13 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, name: str =
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def steady(spark: SparkSession) -> SparkSession:
+    """Session settings that the plans need for right results.
+
+    Spark 4.1 lets a union keep its inputs' common partitioning; when adaptive execution then coalesces one input and not
+    the other, the query fails ("Can't zip RDDs with unequal numbers of partitions"). Unions here don't rely on it.
+    """
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    return spark
