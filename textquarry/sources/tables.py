@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,3 +39,15 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One block a line of ten characters or more; the id is doc_id * 100000 + line."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("line", "content"))
     return docs.filter(F.length("content") >= 10).select((F.col("doc_id") * 100000 + F.col("line")).alias("id"), "doc_id", "line", site_of(F.col("source")).alias("site_id"), "content")
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """df written to the folder that all executors share, and reread: cuts the lineage of driver loops."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = f"file://{tempfile.mkdtemp(prefix='textquarry-')}"
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder.rstrip('/')}/textquarry/saved-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

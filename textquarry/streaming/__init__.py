@@ -1 +1 @@
-"""Part of textquarry."""
+"""Streaming ingest of page snapshots."""
