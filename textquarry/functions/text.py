@@ -73,6 +73,14 @@ def ngrams(normal: Column, size: int = 3) -> Column:
     return F.when(F.length(normal) >= size, F.array_distinct(F.regexp_extract_all(normal, F.lit(f"(?=(.{{{size}}}))"), F.lit(1)))).otherwise(short)
 
 
+def coded(grams: Column) -> Column:
+    """The n-grams as 64-bit hashes: sets of numbers intersect several times faster than sets of strings.
+
+    n distinct n-grams collide with a chance of n^2 / 2^65; there are about 10^5 different ones in a language.
+    """
+    return F.transform(grams, lambda g: F.xxhash64(g))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """|a & b| / |a | b| of arrays of distinct values; 0 where either is empty."""
     both = F.size(F.array_intersect(a, b))

@@ -187,8 +187,8 @@ def ngram_counts(spark, sf):
 
 def jaccard_benchmark(spark, sf):
     """Benchmark items against all documents, from a Jaccard similarity of 0.2 on."""
-    docs = tables.read(spark, sf, "documents").select("doc_id", t.ngrams(t.normalized(F.col("text"))).alias("dg"))
-    asked = tables.read(spark, sf, "benchmark").select("item_id", t.ngrams(t.normalized(F.col("text"))).alias("ig"))
+    docs = tables.read(spark, sf, "documents").select("doc_id", t.coded(t.ngrams(t.normalized(F.col("text")))).alias("dg"))
+    asked = tables.read(spark, sf, "benchmark").select("item_id", t.coded(t.ngrams(t.normalized(F.col("text")))).alias("ig"))
     out = None
     for part in blocks_of(asked):
         one = docs.join(F.broadcast(part), t.jaccard_bound(F.size("dg"), F.size("ig")) >= 0.2).select("item_id", "doc_id", t.jaccard(F.col("ig"), F.col("dg")).alias("jaccard")).filter("jaccard >= 0.2")
