@@ -95,13 +95,17 @@ def shallow_tree(g: np.ndarray, h: np.ndarray, depth: int = 2) -> np.ndarray:
 
 
 def shallow_pair_tree(g: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Leaf values over a grid: one cut of the rows and one of the columns in each half."""
-    _, at = _cut(g.sum(1), h.sum(1))
-    halves = []
-    for part in (slice(0, at), slice(at, None)):
-        rows = g[part].shape[0]
-        if rows:
-            halves.append(np.tile(shallow_tree(g[part].sum(0), h[part].sum(0), 1), (rows, 1)))
+    """Leaf values over a grid: one cut of the rows and one of the columns in each half.
+
+    The rows are cut where the halves' own column cuts gain most: where two features only tell together, the rows'
+    sums alone tell nothing.
+    """
+
+    def gain(part: slice) -> float:
+        return _cut(g[part].sum(0), h[part].sum(0))[0] + g[part].sum() ** 2 / (h[part].sum() + RIDGE)
+
+    at = max(range(1, len(g)), key=lambda i: gain(slice(0, i)) + gain(slice(i, None)), default=0)
+    halves = [np.tile(shallow_tree(g[part].sum(0), h[part].sum(0), 1), (len(g[part]), 1)) for part in (slice(0, at), slice(at, None)) if len(g[part])]
     return np.concatenate(halves)
 
 
