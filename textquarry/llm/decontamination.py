@@ -25,7 +25,7 @@ from textquarry.llm.words import Words, pieces, text_buffers
 
 WINDOW = 10
 #: Bytes of item texts that one broadcast block holds at most; a larger benchmark is joined block after block.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
 
 
 def gram_words(m: int) -> tuple[int, int]:
