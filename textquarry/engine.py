@@ -7,6 +7,7 @@ or the live source in sources.http.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from datetime import UTC, datetime
 
@@ -280,7 +281,7 @@ class Engine:
     # ------------------------------------------------------------ library, checks, audits
     def library(self, keyword: str = "", site_id: int | None = None, page: int = 1, size: int = 20) -> tuple[int, int, DataFrame]:
         """Total, pages and one page of blocks, newest first; % and _ in the keyword are wildcards."""
-        rows = self.table("content_blocks").join(F.broadcast(self.table("sites").select(F.col("id").alias("site_id"), F.col("name").alias("site_name"))), "site_id")
+        rows = self.table("content_blocks").join(self.table("sites").select(F.col("id").alias("site_id"), F.col("name").alias("site_name")), "site_id")
         if site_id is not None:
             rows = rows.filter(F.col("site_id") == site_id)
         if keyword.strip():
@@ -294,7 +295,7 @@ class Engine:
 
     def _baseline(self) -> DataFrame:
         sites = self.table("sites").filter("site_type = 'baseline'").select(F.col("id").alias("site_id"), F.col("name").alias("site_name"))
-        return self.table("content_blocks").join(F.broadcast(sites), "site_id")
+        return self.table("content_blocks").join(sites, "site_id")
 
     def check(self, content: str, limit: int = 10, persist: bool = True) -> list[Row]:
         """The most similar baseline blocks of a pasted text, with highlights."""
@@ -308,8 +309,6 @@ class Engine:
         if persist:
             row = check_rows(q, found).first()
             normal = h.normal(content)
-            import hashlib
-
             results = [{"content_block_id": m.id, "overall_similarity": round(m.overall, 4), "risk_level": m.risk_level, "original_content": m.original_content, "highlight_segments": m.highlight_segments, "site_id": m.site_id, "site_name": m.site_name, "page_title": m.page_title, "url": m.url, "content_type": m.content_type, "lexical_similarity": round(m.lexical, 4), "semantic_similarity": round(m.semantic, 4), "exact_match": m.exact_match, "chemical_ratio": round(m.chemical_overlap, 4)} for m in shown]
             self._add("similarity_checks", [{"input_content": content, "normalized_content": normal, "content_hash": hashlib.sha256(normal.encode()).hexdigest(), "result_count": row.result_count, "top_score": row.top_score, "results": results, "created_at": datetime.now(UTC)}])
         return shown

@@ -84,7 +84,7 @@ def patched(base: DataFrame, updates: DataFrame, key: str, columns: list[str]) -
 
 
 def without_site(table: DataFrame, site_ids: DataFrame) -> DataFrame:
-    return table.join(F.broadcast(site_ids), "site_id", "left_anti")
+    return table.join(site_ids, "site_id", "left_anti")
 
 
 def walk(start: DataFrame, links: DataFrame, maximum: int, save: Callable[[DataFrame], DataFrame], levels: int = 50) -> DataFrame:
