@@ -181,13 +181,13 @@ def page_hash_lists(spark, sf):
 
 
 def ngram_counts(spark, sf):
-    rows = tables.read(spark, sf, "documents").select("doc_id", t.normalized(F.col("text")).alias("n"))
+    rows = tables.spread(tables.read(spark, sf, "documents"), "doc_id").select("doc_id", t.normalized(F.col("text")).alias("n"))
     return rows.select("doc_id", F.size(t.ngrams(F.col("n"))).cast("long").alias("n_grams"))
 
 
 def jaccard_benchmark(spark, sf):
     """Benchmark items against all documents, from a Jaccard similarity of 0.2 on."""
-    docs = tables.read(spark, sf, "documents").select("doc_id", t.coded(t.ngrams(t.normalized(F.col("text")))).alias("dg"))
+    docs = tables.spread(tables.read(spark, sf, "documents"), "doc_id").select("doc_id", t.coded(t.ngrams(t.normalized(F.col("text")))).alias("dg"))
     asked = tables.read(spark, sf, "benchmark").select("item_id", t.coded(t.ngrams(t.normalized(F.col("text")))).alias("ig"))
     out = None
     for part in blocks_of(asked):
@@ -207,14 +207,15 @@ def embedding_text(spark, sf):
 
 
 def lexical_discounted(spark, sf):
-    """Each document with chemical fields against the same text without them."""
-    rows = similarity.prepare(chemical_docs(spark, sf))
-    plain = similarity.prepare(tables.read(spark, sf, "documents").select("doc_id", F.col("text").alias("original_content")))
-    pair = rows.join(plain.select("doc_id", F.col("normalized").alias("n2"), F.col("core").alias("c2"), F.col("chemical_ratio").alias("r2")), "doc_id")
-    overlap = F.least("chemical_ratio", "r2")
-    full = t.jaccard(t.ngrams(F.col("normalized")), t.ngrams(F.col("n2"))) * (1 - 0.7 * overlap)
-    core = t.jaccard(t.ngrams(F.col("core")), t.ngrams(F.col("c2")))
-    return pair.select("doc_id", F.greatest(full, core).alias("lexical"), overlap.alias("overlap"))
+    """Each document with chemical fields against the same text without them; both come from one row, so nothing is joined."""
+    docs = tables.spread(tables.read(spark, sf, "documents"), "doc_id").select("doc_id", "text")
+    tail = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit(CHEMICAL_TAIL))).otherwise(F.col("text"))
+    forms = docs.select("doc_id", t.normalized(tail).alias("n1"), t.chemical_core(tail).alias("c1"), t.normalized(F.col("text")).alias("n2"), t.chemical_core(F.col("text")).alias("c2"))
+    overlap = F.least(t.chemical_ratio(F.col("n1"), F.col("c1")), t.chemical_ratio(F.col("n2"), F.col("c2")))
+    # each set is made once, as a column of its own, before sets are compared
+    sets = forms.select("doc_id", overlap.alias("overlap"), *[t.coded(t.ngrams(F.col(c))).alias(f"{c}_grams") for c in ("n1", "n2", "c1", "c2")])
+    full = t.jaccard(F.col("n1_grams"), F.col("n2_grams")) * (1 - DEFAULT.chemical_discount * F.col("overlap"))
+    return sets.select("doc_id", F.greatest(full, t.jaccard(F.col("c1_grams"), F.col("c2_grams"))).alias("lexical"), "overlap")
 
 
 def hash_embedding(spark, sf):
@@ -312,7 +313,7 @@ SELECT item_id, doc_id, k / (len(i.g) + len(d.g) - k) AS jaccard FROM k JOIN i U
     "embedding_text": f"WITH {prepared(CHEMICAL_DOCS, 'x')} SELECT doc_id, length(embed_text) AS length, sha256(embed_text) AS embed_sha256 FROM x",
     "lexical_discounted": f"""WITH {prepared(CHEMICAL_DOCS, 'x')}, {prepared('SELECT doc_id, text AS original_content FROM documents', 'y')},
 p AS (SELECT doc_id, least(x.chemical_ratio, y.chemical_ratio) AS overlap, {grams('x.normalized')} AS a, {grams('y.normalized')} AS b, {grams('x.core')} AS c, {grams('y.core')} AS d FROM x JOIN y USING (doc_id)),
-k AS (SELECT *, len(list_intersect(a, b)) AS i, len(list_intersect(c, d)) AS j FROM p)
+k AS (SELECT *, len(a) + len(b) - len(list_distinct(list_concat(a, b))) AS i, len(c) + len(d) - len(list_distinct(list_concat(c, d))) AS j FROM p)
 SELECT doc_id, overlap, greatest((CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE i / (len(a) + len(b) - i) END) * (1 - 0.7 * overlap), CASE WHEN len(c) = 0 OR len(d) = 0 THEN 0.0 ELSE j / (len(c) + len(d) - j) END) AS lexical FROM k""",
     "hash_embedding": f"WITH x AS (SELECT doc_id, {n('text')} AS n FROM documents), {sparse('x', 'doc_id', 'n', 'v')} SELECT doc_id, bucket, weight FROM v",
     "semantic_top200": f"{ITEMS_Q}, {semantic_sql()} SELECT query_id, id, round(semantic, 9) AS semantic, semantic_rank FROM sem",

@@ -14,6 +14,8 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, name: str =
         .appName(name)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
+        # set comparisons cost far more than their bytes: small joins stay spread over the cores
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("TEXTQUARRY_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")

@@ -15,6 +15,16 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return steady(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df over all cores, where it comes in fewer files than there are cores (one small file would keep one core busy).
+
+    A table of many splits, as any large one is, stays as it is: no shuffle is added.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    files = len(df.inputFiles()) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else cores
+    return df.repartition(cores, key) if files < cores else df
+
+
 def site_of(source) -> F.Column:
     return F.regexp_extract(source, r"(\d+)$", 1).cast("long")
 
@@ -32,7 +42,7 @@ def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One block a document."""
-    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), site_of(F.col("source")).alias("site_id"), F.col("source").alias("site_name"), F.when(site_of(F.col("source")) % 5 == 0, "candidate").otherwise("baseline").alias("site_type"), F.col("text").alias("original_content"))
+    return spread(read(spark, sf_dir, "documents"), "doc_id").select(F.col("doc_id").alias("id"), site_of(F.col("source")).alias("site_id"), F.col("source").alias("site_name"), F.when(site_of(F.col("source")) % 5 == 0, "candidate").otherwise("baseline").alias("site_type"), F.col("text").alias("original_content"))
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
