@@ -43,7 +43,9 @@ def texts(seed, count):
 
 
 def brute(rules, text):
-    found = sorted((m.start(), k, m.end()) for k, (_, p, ok) in enumerate(rules) for m in re.finditer(p, text) if ok(m))
+    # Python's search is quadratic on a long run without an @, which can hold no address
+    tried = [(k, p, ok) for k, (name, p, ok) in enumerate(rules) if name != "email" or "@" in text]
+    found = sorted((m.start(), k, m.end()) for k, p, ok in tried for m in re.finditer(p, text) if ok(m))
     return [sum(x[1] == k for x in found) for k in range(len(rules))], ",".join(f"{rules[k][0]}:{a}:{b}" for a, k, b in found)
 
 
