@@ -225,7 +225,9 @@ class Engine:
         path = f"{self.root}/staging/{site_id}-{len(self._versions('crawl_runs'))}"
         rows.write.mode("overwrite").parquet(path)
         rows = self.spark.read.schema(rows.schema).parquet(path)
-        rank = F.row_number().over(Window.orderBy(u.priority(F.col("url"))))
+        # a crawl starts at the homepage, so it owns what other pages repeat
+        order = [F.regexp_replace(u.path(F.col("url")), "/+$", "") != "", u.priority(F.col("url"))]
+        rank = F.row_number().over(Window.orderBy(*order))
         good = rows.filter("error is null and reason is null").withColumn("rank", rank).filter(F.col("rank") <= limit)
         stored = self.table("pages")
         own = stored.filter(F.col("site_id") == site_id)
@@ -250,7 +252,7 @@ class Engine:
         fresh = fresh.withColumn("normalized_content", t.normalized(F.col("original_content"))).withColumn("content_hash", t.hash_of(F.col("normalized_content")))
         kept = blocks.join(changed.select("site_id", "page_id").unionByName(lost), ["site_id", "page_id"], "left_anti")
         # a hash counts for the page that has it already, else for the first crawled page
-        one = F.row_number().over(Window.partitionBy("content_hash").orderBy(u.priority(F.col("url")), "position"))
+        one = F.row_number().over(Window.partitionBy("content_hash").orderBy(*order, "position"))
         fresh = fresh.join(kept.select("site_id", "content_hash").distinct(), ["site_id", "content_hash"], "left_anti").withColumn("n", one).filter("n = 1")
         last = blocks.agg(F.max("id")).first()[0] or 0
         fresh = fresh.withColumns({"id": F.lit(last) + F.row_number().over(Window.orderBy("page_id", "position")), "embedding_version": F.lit(self.cfg.signature), "collected_at": F.current_timestamp()})
