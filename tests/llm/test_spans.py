@@ -110,5 +110,14 @@ def test_ownership(spark):
     assert got[10].spans == "" and got[10].n_copied == 1
 
 
+def test_long_bare_keys_are_candidates(spark):
+    rnd = random.Random(4)
+    for size in (200, 201, 5_000):
+        key = "aZ9" + "".join(rnd.choice("ABCDEFGHIJKLMNOPabcdefghijklmnop0123456789+/") for _ in range(size - 3))
+        df = spark.createDataFrame([(1, f"key {key} here", "o1", "en")], "doc_id long, text string, source string, lang string")
+        (row,) = secrets(df).collect()
+        assert row.spans == f"live:4:{4 + size}" and row.n_live == 1
+
+
 def test_empty(none):
     assert personal_data(none).count() == 0 and secrets(none).count() == 0

@@ -22,8 +22,8 @@ ASSIGN_VALUE = r"""^(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20
 #: Shorter runs fail anyway and hide nothing, since a match takes its run to the end.
 ACCESS = r"AKIA[A-Z0-9]{16,}+"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}+"
-#: Bare strings of one run that may be keys; digits, capitals and small letters must all occur.
-BARE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,200}+={0,2}+(?![A-Za-z0-9+/_=-])"
+#: Bare strings of one run of any length that may be keys; digits, capitals and small letters must all occur.
+BARE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+={0,2}+(?![A-Za-z0-9+/_=-])"
 
 #: Owners from which on a value is a copied example; distinct characters a live-looking value has at least.
 COPIED_OWNERS, LIVE_CHARACTERS = 3, 10
