@@ -110,6 +110,20 @@ def test_ownership(spark):
     assert got[10].spans == "" and got[10].n_copied == 1
 
 
+def test_every_candidate_is_live_or_copied(spark):
+    """A key in two sources stays; three owners of one shared repository are one place."""
+    two, shared, copied = "Zx9Kq2LmP0aTy7RbWc3E", "Qw8Er5Ty2Ui9Op3As6Df", "Hg4Jk7Lz1Xc3Vb9Nm2Qa"
+    rows = [(1, f"key {two} here", "o1", "r1"), (2, f"key {two} here", "o2", "r2")]
+    rows += [(10 + i, f"key {shared} here", f"o{i}", "fork") for i in range(3)] + [(20 + i, f"key {copied} here", f"o{i}", f"r{i}") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, owner string, repo string")
+    from pyspark.sql import functions as F
+
+    got = {r.doc_id: r for r in secrets(df, repository=F.col("repo"), owner=F.col("owner")).collect()}
+    assert all(r.n_live + r.n_copied == 1 for r in got.values())
+    assert got[1].spans == got[2].spans == got[10].spans == "live:4:24" and got[20].spans == ""
+    assert (got[1].ownership, got[10].ownership, got[20].ownership) == ("bare:4:24:2:2", "bare:4:24:3:1", "bare:4:24:3:3")
+
+
 def test_long_bare_keys_are_candidates(spark):
     rnd = random.Random(4)
     for size in (200, 201, 5_000):

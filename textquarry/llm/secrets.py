@@ -1,9 +1,9 @@
 """Secret scans with corpus-wide ownership frequency, with built-in Spark functions only.
 
 Every candidate value (base spans and bare random-looking strings) is hashed and counted over the whole corpus by
-distinct repositories and owners. A value that many owners hold is a widely copied example; one that a single owner
-holds, and that looks random, may be live. Texts are read once: candidates are written to the shared folder with
-hashes in the values' place.
+distinct repositories and owners. A value that COPIED_OWNERS owners hold in as many repositories is a widely copied
+example; any other, since documents are copied now and then, may be live. Texts are read once: candidates are written to
+the shared folder with hashes in the values' place.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ HEX = r"(?<![0-9a-f])[0-9a-f]{24,}+"
 #: Bare strings of one run of any length that may be keys; digits, capitals and small letters must all occur.
 BARE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+={0,2}+(?![A-Za-z0-9+/_=-])"
 
-#: Owners from which on a value is a copied example; distinct characters a live-looking value has at least.
+#: Owners, and repositories, from which on a value is a copied example; distinct characters a live-looking value has at least.
 COPIED_OWNERS, LIVE_CHARACTERS = 3, 10
 
 
@@ -61,18 +61,21 @@ def candidates(docs: DataFrame, doc: str, text: str, repository: Column, owner:
 
 
 def ownership(rows: DataFrame) -> DataFrame:
-    """hash, n (occurrences), repositories, owners: distinct in two steps, so a hot value is reduced before it is shuffled."""
+    """hash, n (occurrences), repositories, owners: distinct in steps, so a hot value is reduced before it is shuffled.
+
+    A null repository or owner is one of its own; a repository that several owners share counts once.
+    """
     each = rows.groupBy("hash", "repo", "owner").agg(F.count("*").alias("n"))
-    by_owner = each.groupBy("hash", "owner").agg(F.sum("n").alias("n"), F.count("*").alias("repos"))
-    return by_owner.groupBy("hash").agg(F.sum("n").alias("n"), F.sum("repos").alias("repositories"), F.count("*").alias("owners"))
+    return each.groupBy("hash").agg(F.sum("n").alias("n"), F.count_distinct(F.struct("repo")).alias("repositories"), F.count_distinct(F.struct("owner")).alias("owners"))
 
 
 def secrets(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", repository: Column | None = None, owner: Column | None = None) -> DataFrame:
-    """Per document: doc, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied.
+    """Per document: doc, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied, ownership.
 
     repository and owner default to (source, lang) and source. spans has the base spans and, as kind live, bare
-    random-looking strings that one owner holds. n_live and n_copied count candidates of one owner and of COPIED_OWNERS
-    or more. Null texts are empty; a null owner is an owner of its own; repeated rows each get a row; other columns are
+    random-looking strings that aren't copied. n_copied counts the candidates that COPIED_OWNERS or more owners hold in
+    as many repositories, n_live all others. ownership has kind:start:end:owners:repositories of each candidate (kind
+    bare: no base span), comma-joined by start. Null texts are empty; a null owner is an owner of its own; repeated rows each get a row; other columns are
     ignored.
     """
     owner = F.col("source") if owner is None else owner
@@ -82,16 +85,21 @@ def secrets(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", reposit
     owned, _ = saved(ownership(rows), "owned")
     total = owned.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     judged = skewed_left_join(rows.select("row", "hash", "start", "kind", "end"), owned, "hash", "n", total)
-    live = (F.col("kind") == len(BASE)) & (F.col("owners") == 1)
+    copied = (F.col("owners") >= COPIED_OWNERS) & (F.col("repositories") >= COPIED_OWNERS)
+    live = (F.col("kind") == len(BASE)) & ~copied
     by_row = judged.groupBy("row").agg(
         F.collect_list(F.when(live, F.struct("start", "kind", "end"))).alias("more"),
-        F.count_if(F.col("owners") == 1).alias("n_live"),
-        F.count_if(F.col("owners") >= COPIED_OWNERS).alias("n_copied"),
+        F.count_if(~copied).alias("n_live"),
+        F.count_if(copied).alias("n_copied"),
+        F.collect_list(F.struct("start", "kind", "end", "owners", "repositories")).alias("held"),
     )
     empty = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     out = kept.filter(F.size("found") > 0).join(by_row, "row", "left").unionByName(kept.filter(F.size("found") == 0), allowMissingColumns=True)
 
+    names = F.array(*[F.lit(k) for k in [*BASE, "bare"]])
+    held = F.transform(F.array_sort("held"), lambda c: F.concat_ws(":", F.get(names, c["kind"]), c["start"], c["end"], c["owners"], c["repositories"]))
+
     def count(kind: str) -> Column:
         return F.size(F.filter("base", lambda s: s["kind"] == KINDS.index(kind))).cast("long").alias(f"n_{kind}")
 
-    return out.select(F.col("id").alias(doc), *[count(k) for k in BASE], F.sha2(joined(F.col("base"), KINDS), 256).alias("base_sha256"), joined(F.concat("base", F.coalesce("more", empty)), KINDS).alias("spans"), F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_copied", F.lit(0)).alias("n_copied"))
+    return out.select(F.col("id").alias(doc), *[count(k) for k in BASE], F.sha2(joined(F.col("base"), KINDS), 256).alias("base_sha256"), joined(F.concat("base", F.coalesce("more", empty)), KINDS).alias("spans"), F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_copied", F.lit(0)).alias("n_copied"), F.coalesce(F.array_join(held, ","), F.lit("")).alias("ownership"))
