@@ -81,6 +81,14 @@ def test_walk_keeps_first_in_first_out_order_and_budget(spark):
     assert order == ["/", "/b", "/a", "/c", "/d"]
 
 
+def test_walk_follows_a_chain_of_any_depth(spark):
+    links = spark.createDataFrame([(1, f"/{i}", f"/{i + 1}", 0) for i in range(60)], "site_id int, url string, target string, position int")
+    start = spark.createDataFrame([(1, "/0")], "site_id int, url string")
+    for maximum, n in ((5000, 61), (53, 53)):
+        rows = crawl.walk(start, links.coalesce(1), maximum, tables.saved).orderBy("rank").collect()
+        assert [(r.url, r.level, r["rank"]) for r in rows] == [(f"/{i}", i, i + 1) for i in range(n)]
+
+
 def test_jobs(spark):
     table = spark.createDataFrame([(1, 1, "crawl", "queued", None), (2, 1, "crawl", "completed", None), (3, 2, "audit", "running", None)], "id long, site_id long, job_type string, status string, error string")
     assert {(r.site_id, r.id) for r in jobs.active(table).collect()} == {(1, 1), (2, 3)}

@@ -7,6 +7,7 @@ walk costs one join a level.
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -87,18 +88,19 @@ def without_site(table: DataFrame, site_ids: DataFrame) -> DataFrame:
     return table.join(site_ids, "site_id", "left_anti")
 
 
-def walk(start: DataFrame, links: DataFrame, maximum: int, save: Callable[[DataFrame], DataFrame], levels: int = 50) -> DataFrame:
+def walk(start: DataFrame, links: DataFrame, maximum: int, save: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Breadth-first order (site_id, url, level, rank) over links (site_id, url, target, position), at most `maximum` pages a site.
 
-    A level's order is that of its parents, then of their links. `save` cuts the lineage after each level.
+    A level's order is that of its parents, then of their links. Only the pages bound the walk: it ends when a level has
+    no new one within `maximum`. `save` cuts the lineage after each level.
     """
     seen = save(start.select("site_id", "url", F.lit(0).alias("level"), F.lit(1).cast("long").alias("rank")))
-    for level in range(1, levels + 1):
+    for level in count(1):
         front = seen.filter(F.col("level") == level - 1)
         offered = front.join(links, ["site_id", "url"]).select("site_id", F.col("target").alias("url"), F.struct("rank", "position").alias("o"))
         fresh = offered.groupBy("site_id", "url").agg(F.min("o").alias("o")).join(seen, ["site_id", "url"], "left_anti")
-        count = seen.groupBy("site_id").agg(F.count("*").alias("n"))
-        ranked = fresh.withColumn("i", F.row_number().over(Window.partitionBy("site_id").orderBy("o", "url"))).join(count, "site_id")
+        held = seen.groupBy("site_id").agg(F.count("*").alias("n"))
+        ranked = fresh.withColumn("i", F.row_number().over(Window.partitionBy("site_id").orderBy("o", "url"))).join(held, "site_id")
         new = ranked.withColumn("rank", (F.col("n") + F.col("i")).cast("long")).filter(F.col("rank") <= maximum).select("site_id", "url", F.lit(level).alias("level"), "rank")
         new = save(new)
         if new.isEmpty():
