@@ -82,3 +82,10 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (103, 101), (7, 7), (None, 3)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(1, 41)}, 101: 100, 103: 100}
+
+
+def test_an_empty_chunk_counts_no_link_again(spark):
+    rows = [(3 * c + k, sentence(c + 50, 300) + f" end{k}") for c in range(12) for k in range(3)]
+    df = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], SCHEMA)
+    got = near_duplicates(df, block_grams=600).collect()
+    assert {(r.n_text_links, r.n_links, r.class_id % 3) for r in got} == {(2, 2, 0)}

@@ -162,7 +162,7 @@ def _compare(keys: list[bytes], copies: list[int], sets: list[np.ndarray], side:
 def _verify(gram: int, threshold: float):
     schema = pa.schema([("key", pa.binary()), ("root", pa.binary()), ("texts", pa.int64()), ("others", pa.int64())])
 
-    def finish(group: list[tuple]) -> list[tuple[bytes, bytes, int, int]]:
+    def finish(task: tuple | None, group: list[tuple]) -> list[tuple[bytes, bytes, int, int]]:
         keys, copies, sets, side, known = [], [], [], [], set()
         for key, n, chunk, text in group:
             raw = np.frombuffer((text or "").encode(), np.uint8)
@@ -175,7 +175,9 @@ def _verify(gram: int, threshold: float):
             copies.append(n)
             sets.append(own)
             side.append(chunk)
-        return _compare(keys, copies, sets, side, threshold) if len(keys) > 1 else []
+        # a chunk may be empty; the pairs inside the other one are counted by its own task
+        alone = len(keys) < 2 or (task[1] != task[2] and len(set(side)) < 2)
+        return [] if alone else _compare(keys, copies, sets, side, threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
@@ -183,13 +185,13 @@ def _verify(gram: int, threshold: float):
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if row[:3] != now:
-                    out += finish(group)
+                    out += finish(now, group)
                     now, group = row[:3], []
                 group.append(row[3:])
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
                 out = []
-        if out := finish(group):
+        if out := finish(now, group):
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
     return run
