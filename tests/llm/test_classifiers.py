@@ -66,3 +66,16 @@ def test_tables_and_trees():
     assert ((model.score(x) > 0.5) == y).mean() > 0.9
     assert len(set(shallow_tree(rng.normal(size=32), np.ones(32)))) <= 4
     assert fitted(np.empty((0, 3)), np.empty(0)).score(np.zeros((2, 3))).tolist() == [0.5, 0.5]
+
+
+def test_stems_in_long_words_are_whole_in_a_window():
+    stem, rng = b"vorgishlaque", np.random.default_rng(3)
+    for size in (5, 17, 40, 300):
+        for at in range(0, size, 3):
+            word = b"k" * at + stem + b"z" * (size - at)
+            assert any(stem in w for w in toxicity.windows(word.decode()))
+    lengths = toxicity.Lengths(b"", b"")
+    odd = {bytes(rng.integers(97, 123, toxicity.WINDOW, dtype=np.uint8)) for _ in range(200)}
+    lengths.learn(odd)
+    sizes = [divmod(lengths.cache[w], toxicity.MOST_ORDINARY + 1) for w in odd]
+    assert all(toxicity.WINDOW * 4 <= t < toxicity.MOST_TOXIC and o < toxicity.MOST_ORDINARY for t, o in sizes)

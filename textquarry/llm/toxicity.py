@@ -1,7 +1,7 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are trained, one on windows of toxic and one on windows of ordinary labelled texts. A window is
-a lower-cased word (of a very long one, WINDOW bytes at a time). It is spelled out in 4-byte codes of its character
+a lower-cased word (a longer one slides in windows of WINDOW bytes that overlap by more than a stem). It is spelled out in 4-byte codes of its character
 trigrams before it is compressed: in plain letters a word's match saves less than zstandard's own framing costs, in
 codes a shared stem of a few letters is a long match and unknown letters are dear. The pair of compressed lengths
 (toxic dictionary, ordinary dictionary) is then looked up in calibrated thresholds: log ratios of how many toxic and
@@ -36,12 +36,13 @@ from textquarry.llm.words import pieces
 #: Labelled rows of each class that a model is fitted on, at most.
 TOXIC, ORDINARY = 4_000, 12_000
 TOXIC_BYTES, ORDINARY_BYTES = 8_192, 112_640
-WINDOW, OVERLAP, LEVEL, THRESHOLD = 64, 8, 6, 0.3
+WINDOW, OVERLAP, LEVEL, THRESHOLD = 16, 12, 6, 0.3
 #: Words of each class that dictionaries are trained on, at most: those in most documents.
 TRAINING_WORDS = 60_000
 #: Times that a word must be more frequent among toxic documents, and documents it must be in.
 CONTRAST, LEAST_DOCUMENTS = 200, 2
-MOST_TOXIC, MOST_ORDINARY = 63, 63
+#: More than a window without any match takes (4 bytes a code and the framing), so no length is clipped.
+MOST_TOXIC, MOST_ORDINARY = 127, 127
 CACHE = 400_000
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -52,7 +53,7 @@ def windows(text: str) -> set[bytes]:
     out = set(WORD.findall(text.lower().encode("utf-8", "replace")))
     for long in [w for w in out if len(w) > WINDOW]:
         out.remove(long)
-        out.update(long[i : i + WINDOW] for i in range(0, len(long), WINDOW - OVERLAP))
+        out.update(long[i : i + WINDOW] for i in range(0, len(long) - OVERLAP, WINDOW - OVERLAP))
     return out
 
 
