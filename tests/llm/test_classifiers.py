@@ -79,3 +79,11 @@ def test_stems_in_long_words_are_whole_in_a_window():
     lengths.learn(odd)
     sizes = [divmod(lengths.cache[w], toxicity.MOST_ORDINARY + 1) for w in odd]
     assert all(toxicity.WINDOW * 4 <= t < toxicity.MOST_TOXIC and o < toxicity.MOST_ORDINARY for t, o in sizes)
+
+
+def test_rare_toxic_words_are_trained_on(spark):
+    """A word in a few of some thousand toxic documents."""
+    rows = [(i, f"{sentence(i, 4)} {'vorgishna' if i % 2 else ''} {'qablixtor' if i % 401 == 0 and i % 2 else ''}", "en", "s", 1) for i in range(6000)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(6000)], LABELS)
+    assert toxicity.spelled(b"qablixtor")[4:-4] in toxicity.train(docs, labels).toxic

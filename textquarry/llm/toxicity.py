@@ -213,8 +213,7 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", folds: in
     n1, n0 = each.get((False, 1), 0), each.get((False, 0), 0)
     counts = sample.filter("not calibrates").select("txt", "y").mapInArrow(_word_rows, "word binary, y int").groupBy("word").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("o"))
     counts, _ = saved(counts, "toxic-words")
-    least = max(LEAST_DOCUMENTS, math.ceil(0.003 * n1))
-    special = counts.filter((F.col("t") >= least) & (F.col("o") * n1 * CONTRAST <= F.col("t") * n0)).orderBy(F.desc("t"), "word").limit(TRAINING_WORDS)
+    special = counts.filter((F.col("t") >= LEAST_DOCUMENTS) & (F.col("o") * n1 * CONTRAST <= F.col("t") * n0)).orderBy(F.desc("t"), "word").limit(TRAINING_WORDS)
     usual = counts.filter("o > 0").orderBy(F.desc("o"), "word").limit(TRAINING_WORDS * 4)
     toxic = _dictionary([(bytes(r["word"]), r["t"]) for r in special.collect()], TOXIC_BYTES, 100)
     ordinary = _dictionary([(bytes(r["word"]), r["o"]) for r in usual.collect()], ORDINARY_BYTES, 3)
