@@ -124,6 +124,22 @@ def test_every_candidate_is_live_or_copied(spark):
     assert (got[1].ownership, got[10].ownership, got[20].ownership) == ("bare:4:24:2:2", "bare:4:24:3:1", "bare:4:24:3:3")
 
 
+def test_context_proposes_and_the_gazetteer_votes(spark, odd):
+    personal = {"Herr {} kam.": "Xaver Maier", "Dear {}, hi": "Ms Okafor", "Dr. {} said": "von O'Neill", "Hallo Peter {}": None, "IBAN {} now": "DE89 3704 0044 0532 0130 00", "passport number: {}.": "C01X00T47", "Konto {},": "AB 1234567"}
+    texts = [(t.format(v), v.removeprefix("Ms ")) for t, v in personal.items() if v]
+    many = [(f"Peter Maier mailed a{i}@b.de, 555-12-345{i % 10}; order 1234567{i % 10}, Saint Peter Town. Dear Sir and Dear Customers", "") for i in range(40)]
+    rows = [(i, t) for i, (t, _) in enumerate(texts * 3 + many)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.spans.split(",") for r in personal_data(df).collect()}
+    for i, (t, v) in enumerate(texts):
+        kind = "number" if any(c.isdigit() for c in v) else "name"
+        assert f"{kind}:{t.index(v)}:{t.index(v) + len(v)}" in got[i], (t, got[i])
+    (t, _), spans = many[0], got[len(texts) * 3]
+    assert not any(x.startswith(f"name:{t.index(w)}:") for x in spans for w in ("Sir", "Customers"))
+    long = spark.createDataFrame([(1, "Dear " + "A" * 300_000), (2, "Herr " + "Ab " * 100_000), (3, "DE89 " + "1234 " * 60_000), (4, "Dr. " * 75_000)], "doc_id long, text string")
+    assert personal_data(long).count() == 4
+
+
 def test_long_bare_keys_are_candidates(spark):
     rnd = random.Random(4)
     for size in (200, 201, 5_000):

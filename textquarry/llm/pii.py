@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textquarry.llm.common import saved
-from textquarry.llm.spans import as_spans, digits, found, joined, luhn, redacted
+from textquarry.llm.spans import as_spans, digits, found, joined, luhn, mod97, redacted
 
 BASE = ["email", "ip", "card", "phone"]
 KINDS = [*BASE, "number", "name"]
@@ -31,7 +31,13 @@ IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 #: Maximal runs of 12 to 19 digits; shorter and longer ones fail anyway and hide nothing.
 CARD = r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?+[0-9]){11,18}+(?![ -]?[0-9])"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
-NUMBER = r"(?<![0-9A-Za-z.+])(?<![0-9][ -])[0-9](?:[ -]?+[0-9]){6,18}+(?![ -]?[0-9])(?![A-Za-z])"
+RUN = r"(?<![0-9A-Za-z.+])(?<![0-9][ -])[0-9](?:[ -]?+[0-9]){6,18}+(?![ -]?[0-9])(?![A-Za-z])"
+
+#: Letter-led accounts: by their form (IBAN), and any that follow a word for a passport or an account.
+IBAN = r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}\x20?+[A-Z0-9]{4}(?:\x20?+(?=[A-Z]{0,3}[0-9])[A-Z0-9]{4}){1,6}+(?:\x20?+(?=[A-Z]{0,2}[0-9])[A-Z0-9]{1,3})?+(?![0-9A-Za-z])"
+PAPERS = r"(?:passport|reisepass|passeport|pasaporte|account|konto|compte|cuenta|iban)(?:\x20?(?:no|nr|number|nummer|numéro|número))?"
+LETTERED = rf"(?<![0-9A-Za-z])(?<=(?i:{PAPERS})[ :.#]{{1,3}})(?=[A-Z]{{1,3}}[ -]?[0-9])[A-Z]{{1,3}}[ -]?+[0-9A-Z]{{5,15}}+(?![0-9A-Za-z])"
+NUMBER = f"(?:{RUN}|{IBAN}|{LETTERED})"
 
 #: Frequent first names of the four languages.
 FIRST_NAMES = (
@@ -39,7 +45,14 @@ FIRST_NAMES = (
     "Hans Peter Klaus Jürgen Ursula Monika Petra Sabine Andreas Stefan Jean Pierre Michel Nathalie Isabelle Sylvie Nicolas Camille "
     "José Antonio Manuel María Carmen Ana Francisco Javier Luis Laura"
 ).split()
-NAME = r"(?<!\p{L})(?:" + "|".join(FIRST_NAMES) + r") \p{Lu}\p{Ll}+"
+LISTED = "(?:" + "|".join(FIRST_NAMES) + ")"
+#: Titles and greetings that names follow, and words after them that are none.
+TITLES = r"(?:mr|mrs|ms|miss|dr|prof|herrn?|frau|fräulein|monsieur|madame|mademoiselle|mme|señor|señora|señorita|sra?|don|doña)"
+GREETINGS = r"(?:dear|hello|hi|hallo|liebe|lieber|bonjour|cher|chère|hola|estimado|estimada|querido|querida)"
+NAMELESS = r"(?i)^(?:sir|madam|all|everyone|everybody|team|friends?|customers?|readers?|colleagues?|kunden?|freunde?|kollegen|leser|damen|amis?|clients?|amigos?|clientes?|world|there|god|lord)\b"
+PERSON = r"(?:(?:von|van|de|der|den|del|della|di|da|du|la|le|zu|zum)\x20){0,3}+(?:\p{Lu}\.\x20?){0,3}+\p{Lu}(?:[\p{L}\p{M}]|['’-][\p{L}\p{M}])++(?:\x20\p{Lu}(?:[\p{L}\p{M}]|['’-][\p{L}\p{M}])++){0,2}+"
+#: Listed first names with a capitalised word, and whatever capitalised words follow a title or a greeting.
+NAME = rf"(?<!\p{{L}})(?:(?=[\p{{Lu}}vdlz])(?<=(?<!\p{{L}})(?iu:{TITLES}\.?|{GREETINGS})\x20)(?!(?iu:{TITLES}\.?\x20)){PERSON}|{LISTED} \p{{Lu}}\p{{Ll}}+)"
 #: Telephone country codes, card issuers' first digits, ranges of addresses that name no host.
 CALLING = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[2-9][0-9]{2})"
 ISSUERS = r"^(?:4|5[1-5]|3[47]|6011|65|2[2-7]|35)"
@@ -49,8 +62,8 @@ CONTEXTS = {
     "ip": (r"(?:\bip\b|address|host|server|client|from|adresse|dirección)", r"(?:version|release|section|\bv)\W*$"),
     "card": (r"(?:card|visa|master|amex|credit|payment|karte|carte|tarjeta)", r"(?:isbn|order|serial|invoice|tracking)"),
     "phone": (r"(?:phone|tel|call|fax|mobile|cell|contact|telefon|téléphone|teléfono)", r"(?:version|offset|utc|gmt)"),
-    "number": (r"(?:phone|tel|call|fax|mobile|ssn|social security|passport|account|iban|card|id number)\W*$", r"(?:isbn|issn|order|version|page|serial|year|invoice|no\.)\W*$"),
-    "name": (r"(?:\bmr|\bmrs|\bms|\bdr|name|by|author|signed|dear|herr|frau|monsieur|madame|señora?)\W*$", r"(?:saint|san|st\.|rue|street)\W*$"),
+    "number": (r"(?:phone|tel|call|fax|mobile|ssn|social security|passport|account|iban|card|id number)(?: ?(?:no|nr|number|nummer|numéro|número))?\W*$", r"(?:isbn|issn|order|version|page|serial|year|invoice|no\.)\W*$"),
+    "name": (rf"(?:(?<!\p{{L}})(?:{TITLES}|{GREETINGS})|name|by|author|signed)\W*$", r"(?:saint|san|st\.|rue|street)\W*$"),
 }
 
 
@@ -64,14 +77,15 @@ def _votes(kind: str, m: Column) -> list[Column]:
     number = digits(value)
     near, against = CONTEXTS[kind]
     context = _vote(F.lower(m["before"]).rlike(near), F.lower(m["before"]).rlike(against))
-    none = F.lit(0)
+    iban = value.rlike("^[A-Z]")
+    titled = F.lower(m["before"]).rlike(rf"(?<!\p{{L}}){TITLES}\W*$")
     by_kind = {
         "email": lambda: [F.lit(1), _vote(value.rlike(r"\.[A-Za-z]{2,}$"), value.rlike(r"\.[0-9-]*$")), _vote(value.rlike(r"(?i)\.(?:com|org|net|edu|gov|de|fr|es|uk|eu|io|info)$"), value.rlike(r"(?i)^(?:no-?reply|test|user)@"))],
         "ip": lambda: [F.lit(1), _vote(~value.rlike(r"(?:^|\.)0[0-9]"), F.lit(True)), _vote(~value.rlike(UNROUTED), F.lit(True))],
         "card": lambda: [_vote(value.rlike(r"^[0-9]{4}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}$"), value.rlike(r"[ -][0-9][ -]")), F.lit(1), _vote(number.rlike(ISSUERS), F.lit(True))],
         "phone": lambda: [F.lit(1), _vote(F.length(number).between(10, 13)), _vote(value.rlike(CALLING), F.lit(True))],
-        "number": lambda: [_vote(value.rlike(r"^(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9]{3}[ -][0-9]{3}[ -][0-9]{4}|0[0-9]{2,4}[ -][0-9]{5,8})$"), value.rlike(r"^[0-9]+$")), F.when(F.length(number) >= 12, F.when(luhn(value), 1).otherwise(-1)).otherwise(0), _vote((F.length(number) >= 15) & number.rlike(ISSUERS), F.length(number).between(7, 8))],
-        "name": lambda: [F.lit(1), none, F.lit(1)],
+        "number": lambda: [_vote(iban | value.rlike(r"^(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9]{3}[ -][0-9]{3}[ -][0-9]{4}|0[0-9]{2,4}[ -][0-9]{5,8})$"), value.rlike(r"^[0-9]+$")), F.when(value.rlike(f"^(?:{IBAN})$"), F.when(mod97(value), 1).otherwise(-1)).when(~iban & (F.length(number) >= 12), F.when(luhn(value), 1).otherwise(-1)).otherwise(0), F.when(iban, 0).otherwise(_vote((F.length(number) >= 15) & number.rlike(ISSUERS), F.length(number).between(7, 8)))],
+        "name": lambda: [_vote(~value.rlike(NAMELESS) & (titled | value.rlike(r"[ .]")), value.rlike(NAMELESS)), _vote(F.lit(False), value.rlike(NAMELESS)), _vote(value.rlike(f"^{LISTED}(?:\\x20|$)"))],
     }
     return [*by_kind[kind](), context]
 
@@ -106,7 +120,7 @@ def candidates(docs: DataFrame, keep: list[Column], text: str) -> DataFrame:
         return F.transform(F.col(f"_{kind}"), lambda m: F.struct(m["start"].alias("start"), F.lit(number).alias("kind"), m["end"].alias("end"), _coded(_votes(kind, m)).alias("code")))
 
     def free(kind: str) -> Column:
-        return F.filter(voted(kind), lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+        return F.filter(voted(kind), lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]) & ~((c["start"] < b["start"]) & (b["end"] <= c["end"]))))
 
     return df.withColumn("votes", F.concat(*[voted(k) for k in BASE], free("number"), free("name"))).drop(*[f"_{k}" for k in KINDS])
 

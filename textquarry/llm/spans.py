@@ -51,6 +51,14 @@ def luhn(value: Column) -> Column:
     return F.aggregate(doubled, F.lit(0), lambda a, x: a + x) % 10 == 0
 
 
+def mod97(value: Column) -> Column:
+    """ISO 7064's checksum of an IBAN: letters count from 10 on, the first four characters come last."""
+    plain = F.replace(value, F.lit(" "), F.lit(""))
+    signs = F.split(F.concat(F.substring(plain, 5, 64), F.substring(plain, 1, 4)), "(?<=.)(?=.)")
+    each = F.transform(signs, lambda c: F.when(c.rlike("[0-9]"), F.ascii(c) - 48).otherwise(F.ascii(c) - 55))
+    return F.aggregate(each, F.lit(0), lambda a, x: F.when(x < 10, a * 10 + x).otherwise(a * 100 + x) % 97) == 1
+
+
 def as_spans(matches: Column, kind: int) -> Column:
     """array<struct<start, kind, end>>, which sorts by start, then kind."""
     return F.transform(matches, lambda m: F.struct(m["start"].alias("start"), F.lit(kind).alias("kind"), m["end"].alias("end")))
