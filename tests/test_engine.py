@@ -52,7 +52,7 @@ def test_life_of_two_sites(spark, tmp_path):
     assert [r.status for r in e.crawl_runs(base).collect()] == ["completed", "completed_with_warnings", "completed_with_warnings"]
     assert {r.name: (r.page_count, r.block_count, r.outdated_count) for r in e.sites().collect()} == {"Renamed": (1, 3, 0), "Own": (1, 3, 0)}
 
-    total, pages, rows = e.library("CUSTOM%routes", size=1)
+    total, pages, rows = e.content("CUSTOM%routes", size=1)
     assert (total, pages, rows.count()) == (2, 2, 1)
     assert e.block(1).original_content and e.reindex(own)["reindexed_blocks"] == 3
     job, _ = e.run_job(own, "reindex", lambda: e.reindex(own))

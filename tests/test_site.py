@@ -39,14 +39,22 @@ def test_policy(spark):
     assert reason("https://a.com/products/1", [], []) == u.REASON_PRODUCT
 
 
-def test_links():
-    base, own = "https://www.a.com/x/", {"a.com"}
-    assert u.internal_link("../b?page=2&utm_source=z#f", base, own, frozenset({"page"})) == "https://www.a.com/b?page=2"
-    assert u.internal_link("http://a.com/b?page=2", base, own) == "https://a.com/b"
-    for href in ("#a", "mailto:x@a.com", "http://b.com/", "http://sub.a.com/", "/login", "/f.PDF", "/points_mall/1", "", "http://["):
-        assert u.internal_link(href, base, own) is None
+def test_links(spark):
+    def link(href, *allowed, base="https://www.a.com/x/"):
+        found = spark.createDataFrame([(h.targets(f'<a href="{href}">', base),)], "l array<string>")
+        got = found.select(h.internal_links(F.col("l"), F.lit(base), F.lit("a.com"), F.array(*map(F.lit, allowed)) if allowed else None).alias("x")).first().x
+        return got[0] if got else None
+
+    assert link("../b?page=2&utm_source=z#f", "page") == "https://www.a.com/b?page=2"
+    assert link("/b?page=2&lang=de", "lang", "page") == "https://www.a.com/b?lang=de&page=2"
+    assert link("?page=%C3%A4+b~*&page=", "page") == "https://www.a.com/x/?page=&page=%C3%A4+b~%2A"
+    assert link("http://a.com/b?page=2") == "https://a.com/b"
+    assert link("HTTP://A.com:8080") == "https://a.com:8080/"
+    for href in ("#a", "mailto:x@a.com", "http://b.com/", "http://sub.a.com/", "/login", "/f.PDF", "/points_mall/1", "", "http://[", "javascript:x", "http://a.com:x/"):
+        assert link(href) is None
     html = '<nav><a href="/z/deep">1</a></nav><a href="/about">2</a><a href="/about#x">3</a><a href="/b">4</a>'
-    assert h.links(html, "https://a.com/", own) == ["https://a.com/about", "https://a.com/b", "https://a.com/z/deep"]
+    found = spark.createDataFrame([(h.targets(html, "https://a.com/"),)], "l array<string>")
+    assert found.select(h.internal_links(F.col("l"), F.lit("https://a.com/"), F.lit("a.com")).alias("x")).first().x == ["https://a.com/about", "https://a.com/b", "https://a.com/z/deep"]
 
 
 def test_url_faults(spark):

@@ -1,4 +1,4 @@
-"""The engine's operations over a folder of table snapshots: sites, crawls, jobs, library, checks, audits.
+"""The engine's operations over a folder of table snapshots: sites, crawls, jobs, stored content, checks, audits.
 
 Each table is a series of versions; a change reads the latest and writes the next, so no reader sees a half-written one
 and none is overwritten. Crawls take fetched pages as a DataFrame (url, html, http_status, content_type): a stored crawl,
@@ -280,8 +280,8 @@ class Engine:
         self._write("content_blocks", df.withColumn("embedding_version", F.when(mine, self.cfg.signature).otherwise(F.col("embedding_version"))))
         return {"site_id": site_id, "reindexed_blocks": n, "embedding_version": self.cfg.signature}
 
-    # ------------------------------------------------------------ library, checks, audits
-    def library(self, keyword: str = "", site_id: int | None = None, page: int = 1, size: int = 20) -> tuple[int, int, DataFrame]:
+    # ------------------------------------------------------------ stored content, checks, audits
+    def content(self, keyword: str = "", site_id: int | None = None, page: int = 1, size: int = 20) -> tuple[int, int, DataFrame]:
         """Total, pages and one page of blocks, newest first; % and _ in the keyword are wildcards."""
         rows = self.table("content_blocks").join(self.table("sites").select(F.col("id").alias("site_id"), F.col("name").alias("site_name")), "site_id")
         if site_id is not None:

@@ -5,15 +5,16 @@ from __future__ import annotations
 import re
 import unicodedata
 from html.parser import HTMLParser
+from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textquarry.functions.urls import internal_link, link_priority
+from textquarry.functions.urls import priority, uniform_link
 
-# Removed elements and boilerplate.
+# Removed elements (kept by tag, role, class and id, as the parser here knows no CSS selectors) and boilerplate.
 REMOVED_TAGS = {"nav", "footer", "header", "aside", "script", "style", "noscript", "template", "svg", "form"}
 REMOVED_ROLES = {"navigation", "banner", "contentinfo"}
 REMOVED_CLASSES = ("footer", "header", "navbar", "nav-", "breadcrumb", "cookie", "sidebar", "copyright")
@@ -116,15 +117,22 @@ def extract(html: str) -> dict:
     return {"title": title, "meta_description": description, "blocks": [{"content_type": k, "text": t} for k, t in first.values()], "error": None}
 
 
-def links(html: str, base: str, domains: set[str], allowed: frozenset[str] = frozenset()) -> list[str]:
-    """Distinct internal links of the whole page, navigation included, in crawl order."""
+def targets(html: str, base: str) -> list[str]:
+    """Absolute targets of all links of the whole page, navigation included; links to a place on the page are left out."""
     reader = _Reader()
     try:
         reader.feed(html)
         reader.close()
     except Exception:  # noqa: BLE001  what was read before the fault counts
         pass
-    return sorted({x for h in reader.links if (x := internal_link(h, base, domains, allowed))}, key=link_priority)
+    out = []
+    for href in reader.links:
+        if (href := href.strip())[:1] not in ("", "#"):
+            try:
+                out.append(urljoin(base, href))
+            except ValueError:  # not a URL
+                continue
+    return list(dict.fromkeys(out))
 
 
 @F.pandas_udf(PAGE)
@@ -133,8 +141,17 @@ def extract_page(html: pd.Series) -> pd.DataFrame:
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
-def extract_links(html: pd.Series, base: pd.Series, domain: pd.Series) -> pd.Series:
-    return pd.Series([links(h or "", b or "", {d or ""}) for h, b, d in zip(html, base, domain, strict=True)])
+def extract_targets(html: pd.Series, base: pd.Series) -> pd.Series:
+    return pd.Series([targets(h or "", b or "") for h, b in zip(html, base, strict=True)])
+
+
+def internal_links(found: Column, base: Column, domain: Column, allowed: Column | None = None) -> Column:
+    """The distinct internal ones of extract_targets()' links, in uniform form and crawl order; `allowed` names query parameters to keep.
+
+    Take `found` from a column, not from the function itself, or each use parses the page again.
+    """
+    uniform = F.array_distinct(F.filter(F.transform(found, lambda x: uniform_link(x, base, domain, allowed)), lambda x: x.isNotNull()))
+    return F.transform(F.array_sort(F.transform(uniform, priority)), lambda p: p["url"])
 
 
 def is_html(body: Column, content_type: Column | None = None) -> Column:

@@ -1,4 +1,4 @@
-"""Queries on the library, sites, jobs, pages, URLs and the incremental crawl, each with its SQL.
+"""Queries on stored content, sites, jobs, pages, URLs and the incremental crawl, each with its SQL.
 
 The reference data has no crawl history, so stored and fetched snapshots, jobs and site settings are derived from the
 tables by fixed rules, the same in both languages.
@@ -24,7 +24,7 @@ def pages(spark: SparkSession, sf: str) -> DataFrame:
     return tables.read(spark, sf, "pages")
 
 
-# ---------------------------------------------------------------- library
+# ---------------------------------------------------------------- stored content
 def stats(spark, sf):
     docs = tables.read(spark, sf, "documents").agg(F.count("*").alias("content_blocks"), F.count_distinct("source").alias("sites"))
     return docs.crossJoin(pages(spark, sf).agg(F.count("*").alias("pages"))).crossJoin(tables.read(spark, sf, "benchmark").agg(F.count("*").alias("similarity_checks")))
@@ -44,18 +44,18 @@ def _found(spark, sf, keyword: str) -> DataFrame:
     return rows.filter(F.col("original_content").ilike(f"%{keyword.strip()}%") | F.col("site_name").ilike(f"%{keyword.strip()}%"))
 
 
-def library_search(spark, sf):
+def content_search(spark, sf):
     """Blocks that hold a keyword, % and _ acting as wildcards, in content or title."""
     return _found(spark, sf, " th%ti_n ").select("id", "site_id", "site_name")
 
 
-def library_page(spark, sf):
+def content_page(spark, sf):
     """Third page of 20 of one site type's blocks, newest first."""
     rows = tables.blocks(spark, sf).filter("site_type = 'baseline'")
     return rows.orderBy((F.col("id") % 50).desc(), F.desc("id")).offset(40).limit(20).select("id", "site_id", "site_name")
 
 
-def library_total(spark, sf):
+def content_total(spark, sf):
     total = _found(spark, sf, "the").agg(F.count("*").alias("total"))
     return total.withColumn("pages", F.ceil(F.col("total") / 20))
 
@@ -115,9 +115,9 @@ def page_blocks(spark, sf):
 
 
 def page_links(spark, sf):
-    """Internal links of each page, in crawl order."""
-    found = pages(spark, sf).select("page_id", h.extract_links(F.col("html"), F.col("url"), u.host(F.col("url"))).alias("l"))
-    return found.select("page_id", F.posexplode("l").alias("position", "link"))
+    """Internal links of each page, in crawl order; the parameter `page` is kept."""
+    found = pages(spark, sf).select("page_id", "url", h.extract_targets(F.col("html"), F.col("url")).alias("l"))
+    return found.select("page_id", F.posexplode(h.internal_links(F.col("l"), F.col("url"), u.host(F.col("url")), F.array(F.lit("page")))).alias("position", "link"))
 
 
 def page_titles(spark, sf):
@@ -332,9 +332,9 @@ _PRODUCT_URL = f"len({_SEGMENTS}) >= 2 AND len(list_filter({_SEGMENTS}[:-2], lam
 ORACLES = {
     "stats": "SELECT (SELECT count(*) FROM documents) AS content_blocks, (SELECT count(DISTINCT source) FROM documents) AS sites, (SELECT count(*) FROM pages) AS pages, (SELECT count(*) FROM benchmark) AS similarity_checks",
     "site_overview": f"WITH s AS ({SQL_SITES}), b AS (SELECT site_id, count(*) AS block_count, count(*) FILTER (id % 7 = 0) AS outdated_count FROM ({BLOCKS}) GROUP BY 1), p AS (SELECT page_id % 20 AS site_id, count(*) AS page_count FROM pages GROUP BY 1) SELECT site_id, site_name, site_type, coalesce(page_count, 0) AS page_count, coalesce(block_count, 0) AS block_count, coalesce(outdated_count, 0) AS outdated_count FROM s LEFT JOIN b USING (site_id) LEFT JOIN p USING (site_id)",
-    "library_search": f"SELECT id, site_id, site_name FROM ({BLOCKS}) WHERE original_content ILIKE '%th%ti_n%' OR site_name ILIKE '%th%ti_n%'",
-    "library_page": f"SELECT id, site_id, site_name FROM ({BLOCKS}) WHERE site_type = 'baseline' ORDER BY id % 50 DESC, id DESC LIMIT 20 OFFSET 40",
-    "library_total": f"SELECT count(*) AS total, CAST(ceil(count(*) / 20) AS BIGINT) AS pages FROM ({BLOCKS}) WHERE original_content ILIKE '%the%' OR site_name ILIKE '%the%'",
+    "content_search": f"SELECT id, site_id, site_name FROM ({BLOCKS}) WHERE original_content ILIKE '%th%ti_n%' OR site_name ILIKE '%th%ti_n%'",
+    "content_page": f"SELECT id, site_id, site_name FROM ({BLOCKS}) WHERE site_type = 'baseline' ORDER BY id % 50 DESC, id DESC LIMIT 20 OFFSET 40",
+    "content_total": f"SELECT count(*) AS total, CAST(ceil(count(*) / 20) AS BIGINT) AS pages FROM ({BLOCKS}) WHERE original_content ILIKE '%the%' OR site_name ILIKE '%the%'",
     "block_lookup": "SELECT doc_id AS id, source AS site_name, lang, n_chars FROM documents WHERE doc_id = 7",
     "latest_job": f"SELECT site_id, job_type, max(id) AS id, arg_max(status, id) AS status FROM ({JOBS}) GROUP BY 1, 2",
     "active_jobs": f"SELECT site_id, job_type, max(id) AS id, arg_max(status, id) AS status FROM ({JOBS}) WHERE status IN ('queued', 'running') GROUP BY 1, 2",
@@ -374,7 +374,7 @@ SELECT site_id, doc_id AS page_id, count(*) AS n, sha256(string_agg(c, ',' ORDER
 }
 
 QUERIES = {f.__name__: f for f in (
-    stats, site_overview, library_search, library_page, library_total, block_lookup, latest_job, active_jobs, run_history, recover_jobs, create_jobs, html_gate, page_digest, page_blocks, page_links,
+    stats, site_overview, content_search, content_page, content_total, block_lookup, latest_job, active_jobs, run_history, recover_jobs, create_jobs, html_gate, page_digest, page_blocks, page_links,
     page_titles, boilerplate_filter, block_length_filter, block_keep_first, url_product_route, url_dynamic_product, product_markers, url_policy, url_query_whitelist, link_priority, canonical_host,
     validate_url, validate_site, change_detection, page_upsert, block_replace, stale_pages, prune_guard, prune, crawl_summary, delete_site, reindex_site, patch_site, remove_product_pages, bfs_frontier, crawl_preview,
 )}
