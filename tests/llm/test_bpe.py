@@ -13,15 +13,15 @@ from textquarry.llm.byte_bpe import PrefixEncoder, Prefixes, decoded, read_ranks
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 RANKS = read_ranks(PATH)
 ENCODER = PrefixEncoder(RANKS)
-LIBRARY = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=RANKS, special_tokens={})
+TIKTOKEN = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=RANKS, special_tokens={})
 
 
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.sampled_from("aeiothns éßñ漢字🙂и 0129!?.\n\t"), max_size=60))
-def test_equals_the_library(text):
+def test_equals_tiktoken(text):
     import regex
 
-    assert [i for m in regex.findall(public_tokenizers.PATTERN, text) for i in ENCODER.encode(m.encode())] == LIBRARY.encode_ordinary(text)
+    assert [i for m in regex.findall(public_tokenizers.PATTERN, text) for i in ENCODER.encode(m.encode())] == TIKTOKEN.encode_ordinary(text)
 
 
 @settings(max_examples=200, deadline=None)
@@ -46,7 +46,7 @@ def test_table(spark, odd, none):
     rows = tokenized(odd, PATH, public_tokenizers.PATTERN, ids=True)
     texts = sorted(r.text or "" for r in odd.select("text").collect())
     got = sorted((r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in rows.collect())
-    want = [(len(i := LIBRARY.encode_ordinary(t)), hashlib.sha256(",".join(map(str, i)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()) for t in texts]
+    want = [(len(i := TIKTOKEN.encode_ordinary(t)), hashlib.sha256(",".join(map(str, i)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()) for t in texts]
     assert got == sorted(want)
     assert sorted(bytes(r.decoded) for r in decoded(rows, PATH).collect()) == sorted(t.encode() for t in texts)
     assert tokenized(none, PATH, public_tokenizers.PATTERN).count() == 0
@@ -54,4 +54,4 @@ def test_table(spark, odd, none):
 
 @pytest.mark.parametrize("ids", [[], [300, 5]])
 def test_decode(ids):
-    assert ENCODER.decode(ids) == LIBRARY.decode_bytes(ids)
+    assert ENCODER.decode(ids) == TIKTOKEN.decode_bytes(ids)
