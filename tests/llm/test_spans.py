@@ -1,10 +1,13 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 
-from textquarry.llm.pii import KINDS, fitted, personal_data, redact
+from pyspark.sql import functions as F
+
+from textquarry.llm.pii import CODES, FAMILIES, KINDS, LABELERS, OPINIONS, VOTES, SpanModel, added, candidates, classifier, decoded, fit, fitted, personal_data, redact, reliabilities
 from textquarry.llm.secrets import secrets
 
 DIGITS = re.compile("[^0-9]+")
@@ -74,24 +77,113 @@ def test_no_python_in_the_plans(odd):
         assert not re.search("Python|Arrow|Pandas", op(odd)._jdf.queryExecution().executedPlan().toString())
 
 
+def code(*votes):
+    return sum((v + 1) * 3**i for i, v in enumerate(votes))
+
+
 def test_model_tells_reliable_from_random():
-    """Three labelers that agree and one that votes by chance."""
+    """Labelers that agree and one that votes by chance."""
     rnd, counts = random.Random(2), {}
     for _ in range(4000):
         y = 1 if rnd.random() < 0.4 else -1
-        votes = [y if rnd.random() < 0.9 else -y, y if rnd.random() < 0.85 else 0, y if rnd.random() < 0.8 else -y, rnd.choice([-1, 0, 1])]
-        code = sum((v + 1) * 3**i for i, v in enumerate(votes))
-        counts[4, code] = counts.get((4, code), 0) + 1
+        votes = [y if rnd.random() < 0.9 else -y, y if rnd.random() < 0.85 else 0, y if rnd.random() < 0.8 else -y, rnd.choice([-1, 0, 1]), 0]
+        counts[5, code(*votes)] = counts.get((5, code(*votes)), 0) + 1
     model = fitted(counts)
-    yes, no = model.reliability["form"]
+    yes, no = model.reliability[5]["form"]
     assert yes[1] > 0.8 > 0.3 > no[1]
-    yes, no = model.reliability["context"]
-    assert abs(yes[1] - no[1]) < 0.1
-    code = lambda *v: sum((x + 1) * 3**i for i, x in enumerate(v))
-    assert model.score(4, code(1, 1, 1, 0)) > 0.5 > model.score(4, code(-1, -1, -1, 0))
+    yes, no = model.reliability[5]["before"]
+    assert abs(yes[1] - no[1]) < 0.2
+    assert model.score(5, code(1, 1, 1, 0, 0)) > 0.5 > model.score(5, code(-1, -1, -1, 0, 0))
     assert fitted({}).score(4, 0) == 0.5
 
 
+def test_em_equals_span_by_span():
+    """The same expectation-maximisation without any grouping, over single spans."""
+    rnd = random.Random(5)
+    spans = [[rnd.choice([-1, 0, 1]) for _ in LABELERS] for _ in range(300)]
+    counts = {}
+    for v in spans:
+        counts[code(*v)] = counts.get(code(*v), 0) + 1
+    prior, table, post = reliabilities(counts, 7)
+    odds, n = list(OPINIONS.values()), len(spans)
+    believed = [1 / (1 + math.exp(-sum(x * math.log(o) for x, o in zip(v, odds, strict=True)))) for v in spans]
+    for _ in range(7):
+        share = (sum(believed) + 1) / (n + 2)
+        right = []
+        for j, o in enumerate(odds):
+            each = []
+            for truth in (1, -1):
+                p = [b if truth > 0 else 1 - b for b in believed]
+                opinion = (1 + sum(p) / 10) / (o + 1)
+                mass = {v: sum(x for x, s in zip(p, spans, strict=True) if s[j] == v) + opinion * (o if v == truth else 1) for v in (1, -1)}
+                each.append({v: m / sum(mass.values()) for v, m in mass.items()})
+            right.append(each)
+        believed = []
+        for s in spans:
+            yes, no = share, 1 - share
+            for j, v in enumerate(s):
+                if v:
+                    yes, no = yes * right[j][0][v], no * right[j][1][v]
+            believed.append(yes / (yes + no))
+    assert abs(prior - share) < 1e-9
+    assert all(abs(post[code(*s)] - b) < 1e-9 for s, b in zip(spans, believed, strict=True))
+    assert all(abs(table[LABELERS[j]][0][1] - right[j][0][1]) < 1e-9 for j in range(len(LABELERS)))
+
+
+def test_classifier_as_an_expression(spark):
+    rnd = random.Random(8)
+    rows = {(rnd.randrange(len(FAMILIES)), rnd.randrange(CODES)): rnd.randrange(1, 50) for _ in range(300)}
+    model = fitted(rows)
+    df = spark.createDataFrame([(f, c) for f, c in rows], "family int, code int")
+    got = df.select("family", "code", model.score_of(F.struct("family", "code")).alias("p")).collect()
+    assert all(abs(r.p - model.score(r.family, r.code)) < 1e-9 for r in got)
+    # the classifier reproduces probabilities that votes alone decide, and features can tip them
+    bias, weights = classifier([(code(*[v] * 5), 10.0, float(v > 0)) for v in (-1, 1)] * 5)
+    own = SpanModel({}, {}, {0: bias}, {0: weights})
+    assert own.score(0, code(1, 1, 1, 1, 1)) > 0.9 and own.score(0, code(-1, -1, -1, -1, -1)) < 0.1
+    assert decoded(code(1, 0, -1, 0, 1) + VOTES * 17) == [1, 0, -1, 0, 1]
+
+
+def test_numbers_that_the_rules_drop(spark):
+    """A run of two numbers fails the rules as a whole; the labelers, taught by those that stand alone, find its parts."""
+    cards = ["4539578763621486", "4929123456789012", "4556737586899855", "4024007103939509", "4485275742308327"]
+    good = [c for c in cards if luhn(c)]
+    rows = [f"see {c} or +1 (212) 555-01{i:02d} soon" for i, c in enumerate(good * 10)]
+    rows += [f"batch 9{i}13579246801{i % 10}45 done" for i in range(10, 40)]  # no checksum, no issuer
+    run = f"call +1 (269) 555-3296 {good[0]} now and 7000000000000000 {good[1]} then"
+    df = spark.createDataFrame(list(enumerate([*rows, run])), "doc_id long, text string")
+    got = {r.doc_id: r for r in personal_data(df).collect()}
+    last = got[len(rows)]
+    assert (last.n_phone, last.n_card) == (0, 0)
+    want = [f"number:{run.index(x)}:{run.index(x) + len(x)}" for x in ("+1 (269) 555-3296", good[0], good[1])]
+    assert last.spans.split(",") == want and last.n_number == 3
+    assert all(r.spans == "" for r in got.values() if 0 <= r.doc_id - len(good) * 10 < 30)
+    clean = {r.doc_id: r.text for r in redact(df).collect()}
+    assert clean[len(rows)] == "call [NUMBER] [NUMBER] now and 7000000000000000 [NUMBER] then"
+
+
+def test_votes(spark):
+    texts = {
+        "email noreply@b.de": [1, 1, -1, 1, 0], "version 10.0.0.1 beta": [1, 1, -1, -1, -1], "card 4539 5787 6362 1486, exp": [1, 1, 1, 1, 1], "tel +1 (112) 555-0100": [1, 1, -1, 1, 0],
+        "isbn 9790000000000000 items": [0, -1, -1, -1, -1], "Dear Peter Street and": [1, -1, 1, 1, 0], "order 000-12-3456": [1, -1, 0, -1, 0], "iban DE89 3704 0044 0532 0130 01.": [1, -1, 1, 1, 0],
+    }
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = {r.text: [(KINDS[v.kind], FAMILIES[v.family], decoded(v.code)) for v in r.votes] for r in candidates(df, [F.col("text")], "text").collect()}
+    assert {t: v[0][2] for t, v in got.items()} == texts and all(len(v) == 1 for v in got.values())
+    assert [v[0][:2] for v in got.values()] == [("email", "email"), ("ip", "ip"), ("card", "cards"), ("phone", "phones"), ("number", "cards"), ("name", "names"), ("number", "others"), ("number", "accounts")]
+    voted = candidates(df, [F.col("text")], "text")
+    assert voted.select(F.explode(added(fit(voted)))).count() <= 4
+
+
+def test_many_spans_are_linear(spark):
+    n = 100_000
+    text = " ".join(f"u{i}@b.de" for i in range(n))
+    df = spark.createDataFrame([(1, text, "s", "en"), (2, "token = abc123 " * n, "s", "en")], "doc_id long, text string, source string, lang string")
+    assert {r.doc_id: r.n_email for r in personal_data(df).collect()} == {1: n, 2: 0}
+    assert {r.doc_id: r.n_assign for r in secrets(df).collect()} == {1: 0, 2: n}
+    assert redact(df).filter("doc_id = 1").first().text == " ".join(["[EMAIL]"] * n)
+
+
 def test_redaction(spark, odd):
     df = spark.createDataFrame([(1, "🙂 mail a.b@c.de or +49 30 1234567, 10.1.2.3.", 0), (2, None, 5), (3, "nothing", 0)], "doc_id long, text string, n_chars long")
     got = {r.doc_id: r for r in redact(df, length="n_chars").collect()}
@@ -116,8 +208,6 @@ def test_every_candidate_is_live_or_copied(spark):
     rows = [(1, f"key {two} here", "o1", "r1"), (2, f"key {two} here", "o2", "r2")]
     rows += [(10 + i, f"key {shared} here", f"o{i}", "fork") for i in range(3)] + [(20 + i, f"key {copied} here", f"o{i}", f"r{i}") for i in range(3)]
     df = spark.createDataFrame(rows, "doc_id long, text string, owner string, repo string")
-    from pyspark.sql import functions as F
-
     got = {r.doc_id: r for r in secrets(df, repository=F.col("repo"), owner=F.col("owner")).collect()}
     assert all(r.n_live + r.n_copied == 1 for r in got.values())
     assert got[1].spans == got[2].spans == got[10].spans == "live:4:24" and got[20].spans == ""
