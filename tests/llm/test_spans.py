@@ -2,13 +2,17 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from textquarry.llm.pii import CODES, FAMILIES, KINDS, LABELERS, OPINIONS, VOTES, SpanModel, added, candidates, classifier, decoded, fit, fitted, personal_data, redact, reliabilities
-from textquarry.llm.secrets import secrets
+from textquarry.llm.secrets import PLACEHOLDERS, secrets
+
+SF = "/root/testdata/sf0.001"
 
 DIGITS = re.compile("[^0-9]+")
 
@@ -202,16 +206,58 @@ def test_ownership(spark):
     assert got[10].spans == "" and got[10].n_copied == 1
 
 
-def test_every_candidate_is_live_or_copied(spark):
-    """A key in two sources stays; three owners of one shared repository are one place."""
+def test_every_candidate_is_live_copied_or_plain(spark):
+    """A key in two sources stays; three owners of one shared repository are one place; a placeholder is never live."""
     two, shared, copied = "Zx9Kq2LmP0aTy7RbWc3E", "Qw8Er5Ty2Ui9Op3As6Df", "Hg4Jk7Lz1Xc3Vb9Nm2Qa"
-    rows = [(1, f"key {two} here", "o1", "r1"), (2, f"key {two} here", "o2", "r2")]
+    rows = [(1, f"key {two} here", "o1", "r1"), (2, f"key {two} here", "o2", "r2"), (3, "token = changeme1 password: hunter2x", "o1", "r1")]
     rows += [(10 + i, f"key {shared} here", f"o{i}", "fork") for i in range(3)] + [(20 + i, f"key {copied} here", f"o{i}", f"r{i}") for i in range(3)]
     df = spark.createDataFrame(rows, "doc_id long, text string, owner string, repo string")
     got = {r.doc_id: r for r in secrets(df, repository=F.col("repo"), owner=F.col("owner")).collect()}
-    assert all(r.n_live + r.n_copied == 1 for r in got.values())
+    assert all(r.n_live + r.n_copied + r.n_plain == (2 if r.doc_id == 3 else 1) for r in got.values())
     assert got[1].spans == got[2].spans == got[10].spans == "live:4:24" and got[20].spans == ""
-    assert (got[1].ownership, got[10].ownership, got[20].ownership) == ("bare:4:24:2:2", "bare:4:24:3:1", "bare:4:24:3:3")
+    assert (got[1].ownership, got[10].ownership, got[20].ownership) == ("4:24:2:2", "4:24:3:1", "4:24:3:3")
+    assert (got[3].spans, got[3].n_live, got[3].n_plain) == ("assign:0:17,assign:18:36,live:28:36", 1, 1)
+
+
+def owned(rows):
+    """Live and copied values of (id, text, owner, repository) by plain counting."""
+    found = []
+    for i, text, owner, repo in rows:
+        places = {(m.end() - len(m[2]), m.end()) for m in re.finditer(SECRET[0][1], text or "") if SECRET[0][2](m)}
+        places |= {m.span() for _, p, ok in SECRET[1:] for m in re.finditer(p, text or "") if ok(m)}
+        base = [m.span() for _, p, ok in SECRET for m in re.finditer(p, text or "") if ok(m)]
+        bare = {m.span() for m in re.finditer(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])", text or "")}
+        bare = {s for s in bare if not any(a < s[1] and s[0] < b for a, b in base) and all(re.search(x, text[slice(*s)]) for x in ("[0-9]", "[A-Z]", "[a-z]")) and len(set(text[slice(*s)])) >= 10}
+        found += [(i, s, text[slice(*s)], s in bare, owner, repo) for s in places | bare]
+    holders = {}
+    for _, _, v, _, owner, repo in found:
+        holders.setdefault(v, (set(), set()))
+        holders[v][0].add(owner)
+        holders[v][1].add(repo)
+    out = {i: [set(), 0] for i, *_ in rows}
+    for i, s, v, bare, _, _ in found:
+        looks = bare or (re.search("[0-9]", v) and re.search("[A-Za-z]", v) and not re.search(PLACEHOLDERS[4:], v, re.I) and len(set(v)) >= 6)
+        if min(map(len, holders[v])) >= 3:
+            out[i][1] += 1
+        elif looks:
+            out[i][0].add(s)
+    return out
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_ownership_decides_on_the_driver_s_documents(spark):
+    """Keys planted in its documents: some of one source, one in all sources, and a copied assignment."""
+    rows = [(r.doc_id, r.text or "", r.source, f"{r.source}/{r.lang}") for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    rnd = random.Random(7)
+    keys = {s: "aA9" + "".join(rnd.choice("ABCDEFGHJKabcdefghjk0123456789") for _ in range(30)) for s in sorted({r[2] for r in rows})}
+    rows = [(i, f"{t} {keys[s]}" if i % 3 == 0 else f"{t} Qw8Er5Ty2Ui9Op3As6Df" if i % 3 == 1 else f'{t} api_key = "k3y{s}zq9"', s, r) for i, t, s, r in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, repo string")
+    want = owned(rows)
+    got = secrets(df, repository=F.col("repo"), owner=F.col("source")).collect()
+    for r in got:
+        live = {tuple(map(int, x.split(":")[1:])) for x in r.spans.split(",") if x.startswith("live")}
+        assert (live, r.n_copied) == (want[r.doc_id][0], want[r.doc_id][1]), r.doc_id
+    assert sum(r.n_live for r in got) > 50 and sum(r.n_copied for r in got) > 50
 
 
 def test_context_proposes_and_the_gazetteer_votes(spark, odd):
