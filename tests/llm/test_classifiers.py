@@ -36,6 +36,16 @@ def test_held_out_accuracy(spark):
         assert sum(r.predicted == truth[r.doc_id][column] for r in held) >= 0.9 * len(held)
 
 
+def test_both_classes_are_told_apart(spark):
+    """A constant answer does not pass."""
+    docs, labels, truth = corpus(spark, 1000)
+    for made, column in ((quality_classifier.classified(docs, labels), 0), (toxicity.classified(docs, labels), 1)):
+        held = made.filter("held_out").collect()
+        for value in (0, 1):
+            mine = [r for r in held if truth[r.doc_id][column] == value]
+            assert sum(r.predicted == value for r in mine) >= 0.9 * len(mine)
+
+
 def test_held_out_labels_are_never_read(spark):
     docs, labels, _ = corpus(spark)
     from pyspark.sql import functions as F
@@ -57,6 +67,44 @@ def test_odd_rows_and_labels(spark, odd, none):
     assert quality_classifier.kept(odd, labels).columns == odd.columns
 
 
+def test_toxic_scores_by_hand(spark):
+    """Scores from single compressions of all windows of whole texts, without caches, batches or sets."""
+    docs, labels, _ = corpus(spark)
+    model = toxicity.train(docs, labels)
+    made = toxicity.Lengths(model.toxic, model.ordinary).compressors
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in toxicity.classified(docs, labels).collect():
+        seen, words = [], texts[r.doc_id].lower().encode().replace(b"|", b" ").replace(b"#", b" ").split()
+        for pair in zip(words, words[1:], strict=False):
+            raw = toxicity.spelled(pair)
+            t, o = (len(c.compress(raw)) for c in made)
+            seen.append((model.ratios.get((o - t) * 64 + o // 8, 0.0), (o - t) * 64 + o // 8))
+        best = [x for x, _ in sorted(set(seen), reverse=True)][:2] + [0.0, 0.0]
+        z = model.weights[0] + model.weights[1] * best[0] + model.weights[2] * best[1]
+        assert abs(r.score - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) < 1e-9
+
+
+def test_toxic_stems(spark):
+    """A stem inside compounds of many lengths."""
+    rows, labels = [], []
+    for i in range(800):
+        text = sentence(i, 50)
+        if i % 8 == 0:
+            text = text.replace(" ", f" blorgaz{'abcdefgh'[i // 8 % 8] * (i % 9)}tion ", 3)
+        rows.append((i, text, "en", "s", len(text)))
+        labels.append((i, 1, int(i % 8 == 0)))
+    got = toxicity.classified(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, LABELS)).filter("held_out").collect()
+    mine, clean = ([r.predicted for r in got if (r.doc_id % 8 == 0) is x] for x in (True, False))
+    assert sum(mine) >= 0.9 * len(mine) and sum(clean) <= 0.05 * len(clean)
+
+
+def test_windows_cover_whole_texts():
+    text = "One two-three " + "x" * 40 + " é"
+    assert [len(w) for w in toxicity.words(text)] == [3, 3, 5, 16, 16, 16, 16, 16, 16, 16, 2]
+    assert (b"one", b"two") in toxicity.windows(text) and (b"x" * 16, "é".encode()) in toxicity.windows(text)
+    assert toxicity.windows("") == set() and toxicity.windows("One") == {(b"one",)}
+
+
 def test_tables_and_trees():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(4000, 3))

@@ -1,14 +1,22 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on windows of toxic and one on windows of ordinary labelled texts. A window is
-a lower-cased word (a longer one slides in windows of WINDOW bytes that overlap by more than a stem). It is spelled out in 4-byte codes of its character
-trigrams before it is compressed: in plain letters a word's match saves less than zstandard's own framing costs, in
-codes a shared stem of a few letters is a long match and unknown letters are dear. The pair of compressed lengths
-(toxic dictionary, ordinary dictionary) is then looked up in calibrated thresholds: log ratios of how many toxic and
-ordinary documents, none of them used for the dictionaries, have a window of these lengths. A document's score is a logistic
-function of its two highest log ratios, so it depends on all windows of the whole text and not on its length.
-
-Fitted on a bounded sample of labelled rows (TOXIC and ORDINARY rows at most, smallest id hashes first); probabilities
+Two zstandard dictionaries are trained, one on windows of toxic and one on windows of ordinary labelled texts. A window is WIDTH
+consecutive words, one word after the other, lower-cased; a word longer than PIECE bytes counts as several that overlap by
+more than a stem. Windows are spelled out in 4-byte codes of their words' character trigrams before they are compressed: in
+plain letters a word's match saves less than zstandard's own framing costs, in codes a shared stem of a few letters is a
+long match and unknown letters are dear.
+
+Most of a toxic text is ordinary, so dictionaries of all windows hardly differ. They are therefore trained in rounds, each on
+the windows that the dictionaries of the round before find most toxic: of every text, toxic or ordinary, the PICKED
+windows that the toxic dictionary shortens most against the ordinary one. What toxic texts share sharpens the one; what
+ordinary texts have like it sharpens the other, along with usual windows. Nothing but compressed lengths chooses.
+
+The difference of a window's two compressed lengths, in classes of its length, is then looked up in calibrated thresholds: log
+ratios of how many toxic and ordinary documents, none of them used for the dictionaries, have a window like it. A document's
+score is a logistic function of its two highest log ratios, so it depends on all windows of the whole text and not on its
+length.
+
+Fitted on a bounded sample of labelled rows (TOXIC and ORDINARY documents at most, smallest id hashes first); probabilities
 are corrected for the sample's share of toxic rows.
 """
 
@@ -21,7 +29,7 @@ import re
 import struct
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -33,52 +41,59 @@ from pyspark.sql import functions as F
 from textquarry.llm.common import fold, saved
 from textquarry.llm.words import pieces
 
-#: Labelled rows of each class that a model is fitted on, at most.
-TOXIC, ORDINARY = 4_000, 12_000
-TOXIC_BYTES, ORDINARY_BYTES = 8_192, 112_640
-WINDOW, OVERLAP, LEVEL, THRESHOLD = 16, 12, 6, 0.3
-#: Words of each class that dictionaries are trained on, at most: those in most documents.
-TRAINING_WORDS = 60_000
-#: Times that a word must be more frequent among toxic documents, and documents it must be in.
-CONTRAST, LEAST_DOCUMENTS = 200, 2
-#: More than a window without any match takes (4 bytes a code and the framing), so no length is clipped.
-MOST_TOXIC, MOST_ORDINARY = 127, 127
-CACHE = 400_000
+#: Labelled documents of each class that a model is fitted on, at most; one in CALIBRATES doesn't train but calibrates.
+TOXIC, ORDINARY, CALIBRATES = 4_000, 12_000, 4
+TOXIC_BYTES, ORDINARY_BYTES, LEVEL, THRESHOLD = 16_384, 65_536, 6, 0.3
+#: Words of a window; bytes of a piece of a long word, and its overlap with the next.
+WIDTH, PIECE, OVERLAP = 2, 16, 12
+#: Training rounds, windows picked from a text in each, and windows of a text that the first dictionaries are trained on.
+ROUNDS, PICKED, FIRST = 4, 3, 16
+#: Windows whose lengths a worker remembers.
+CACHE = 300_000
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 
-def windows(text: str) -> set[bytes]:
-    """The distinct windows of a whole text."""
-    out = set(WORD.findall(text.lower().encode("utf-8", "replace")))
-    for long in [w for w in out if len(w) > WINDOW]:
-        out.remove(long)
-        out.update(long[i : i + WINDOW] for i in range(0, len(long) - OVERLAP, WINDOW - OVERLAP))
-    return out
+def words(text: str) -> list[bytes]:
+    """The words of a whole text in order, long ones in pieces."""
+    found = WORD.findall(text.lower().encode("utf-8", "replace"))
+    if not found or max(map(len, found)) <= PIECE:
+        return found
+    return [w[i : i + PIECE] for w in found for i in (range(0, max(1, len(w) - OVERLAP), PIECE - OVERLAP) if len(w) > PIECE else (0,))]
+
+
+def windows(text: str) -> set[tuple[bytes, ...]]:
+    """The distinct windows of a whole text; a text of fewer words is one."""
+    found = words(text)
+    if len(found) < WIDTH:
+        return {tuple(found)} if found else set()
+    return set(zip(*(found[i:] for i in range(WIDTH)), strict=False))
 
 
 _CODES: dict[bytes, bytes] = {}
 
 
-def spelled(window: bytes) -> bytes:
-    """4-byte codes of the trigrams of ^window$."""
-    w, out = b"^" + window + b"$", []
-    for i in range(len(w) - 2):
-        g = w[i : i + 3]
-        if (code := _CODES.get(g)) is None:
-            if len(_CODES) > 200_000:
-                _CODES.clear()
-            code = _CODES[g] = struct.pack("<I", zlib.crc32(g) * 2654435761 & 0xFFFFFFFF)
-        out.append(code)
-    return b"".join(out)
+def _code(word: bytes) -> bytes:
+    """4-byte codes of the trigrams of ^word$."""
+    if (code := _CODES.get(word)) is None:
+        if len(_CODES) > 300_000:
+            _CODES.clear()
+        w = b"^" + word + b"$"
+        code = _CODES[word] = b"".join(struct.pack("<I", zlib.crc32(w[i : i + 3]) * 2654435761 & 0xFFFFFFFF) for i in range(len(w) - 2))
+    return code
+
+
+def spelled(window: tuple[bytes, ...]) -> bytes:
+    return b"".join(map(_code, window))
 
 
-def _dictionary(words: list[tuple[bytes, int]], size: int, most: int) -> bytes:
-    """A dictionary of spelled-out words, each repeated by its documents; b"" if there is too little to train on."""
-    samples = [spelled(w) for w, n in words for _ in range(min(n, most))]
+def dictionary(samples: Iterable[bytes], size: int) -> bytes:
+    """A dictionary of spelled-out windows; all of them where they fit, or if there is too little to train on."""
+    samples = sorted(samples)
     random.Random(11).shuffle(samples)
     grouped = [b"".join(samples[i : i + 4]) for i in range(0, len(samples), 4)]
-    size = min(size, sum(map(len, grouped)) // 2)
+    if sum(map(len, grouped)) <= size:
+        return b"".join(grouped)
     try:
         return zstandard.train_dictionary(size, grouped, k=64, d=8).as_bytes()
     except (zstandard.ZstdError, ValueError):
@@ -86,27 +101,40 @@ def _dictionary(words: list[tuple[bytes, int]], size: int, most: int) -> bytes:
 
 
 class Lengths:
-    """Compressed lengths of windows with either dictionary."""
+    """Compressed lengths of windows with either dictionary, as a key: their difference and the class of the ordinary one."""
 
     def __init__(self, toxic: bytes, ordinary: bytes):
         parameters = zstandard.ZstdCompressionParameters.from_level(LEVEL, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_dict_id=0, write_checksum=0, min_match=4)
-        self.compressors = [zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d) if d else None, compression_params=parameters) for d in (toxic, ordinary)]
-        self.cache: dict[bytes, int] = {}
+        self.compressors = [zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if d else None, compression_params=parameters) for d in (toxic, ordinary)]
+        self.cache: dict[tuple[bytes, ...], int] = {}
 
-    def learn(self, wanted: set[bytes]) -> None:
+    def learn(self, wanted: set[tuple[bytes, ...]]) -> None:
         """Puts the keys of `wanted` into the cache."""
         if len(self.cache) + len(wanted) > CACHE:
             self.cache.clear()
         missing = [w for w in wanted if w not in self.cache]
         for low in range(0, len(missing), 20_000):
             part = missing[low : low + 20_000]
-            raw = [spelled(w) for w in part]
+            raw = list(map(spelled, part))
             both = []
             for c in self.compressors:
                 out = c.multi_compress_to_buffer(raw, threads=0)
                 both.append([len(out[i]) for i in range(len(out))])
-            for w, t, o in zip(part, *both, strict=True):
-                self.cache[w] = min(t, MOST_TOXIC) * (MOST_ORDINARY + 1) + min(o, MOST_ORDINARY)
+            self.cache.update((w, (o - t) * 64 + o // 8) for w, t, o in zip(part, *both, strict=True))
+
+    def of(self, texts: list[str | None]) -> Iterator[dict[tuple[bytes, ...], int]]:
+        """For each text its windows' keys."""
+        found = [windows(t or "") for t in texts]
+        for low in range(0, len(found), 256):
+            part = found[low : low + 256]
+            self.learn(set().union(*part))
+            for ws in part:
+                yield {w: self.cache[w] for w in ws}
+
+
+def difference(key: int) -> int:
+    """By how much the toxic dictionary shortens a window more; o // 8 is below 64, as no window is longer than WIDTH pieces."""
+    return key >> 6
 
 
 @dataclass
@@ -118,14 +146,14 @@ class ToxicModel:
 
     @property
     def name(self) -> str:
-        return hashlib.sha256(self.toxic + self.ordinary).hexdigest()
+        return hashlib.sha256(len(self.toxic).to_bytes(8, "big") + self.toxic + self.ordinary).hexdigest()
 
-    def features(self, keys: set[int]) -> tuple[float, float]:
+    def features(self, keys: Iterable[int]) -> tuple[float, float]:
         """The highest and the second highest log ratio."""
-        best = sorted((self.ratios.get(k, 0.0) for k in keys), reverse=True)[:2] + [0.0, 0.0]
+        best = sorted((self.ratios.get(k, 0.0) for k in set(keys)), reverse=True)[:2] + [0.0, 0.0]
         return best[0], best[1]
 
-    def score(self, keys: set[int]) -> float:
+    def score(self, keys: Iterable[int]) -> float:
         a, b = self.features(keys)
         w = self.weights
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, w[0] + w[1] * a + w[2] * b))))
@@ -141,30 +169,38 @@ def _lengths(model: ToxicModel) -> Lengths:
     return _LENGTHS[model.name]
 
 
-def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """FIRST windows of each text by hash."""
     for batch in batches:
-        words, toxic = [], []
+        chosen, toxic = [], []
         for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            found = windows(text or "")
-            words += found
-            toxic += [y] * len(found)
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(toxic, pa.int32())], names=["word", "y"])
+            some = sorted(map(spelled, windows(text or "")), key=zlib.crc32)[:FIRST]
+            chosen += some
+            toxic += [y] * len(some)
+        yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(chosen, pa.binary())], names=["y", "spelled"])
+
 
+def _picked(model_of):
+    """The PICKED windows of each text that the toxic dictionary shortens most, if it does."""
 
-def _keys(texts: list[str | None], lengths: Lengths) -> Iterator[set[int]]:
-    found = [windows(t or "") for t in texts]
-    for low in range(0, len(found), 256):
-        part = found[low : low + 256]
-        lengths.learn(set().union(*part))
-        for ws in part:
-            yield {lengths.cache[w] for w in ws}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lengths = _lengths(model_of.value)
+        for batch in batches:
+            chosen, toxic = [], []
+            for keys, y in zip(lengths.of(batch.column(0).to_pylist()), batch.column(1).to_pylist(), strict=True):
+                some = sorted((-difference(k), w) for w, k in keys.items() if difference(k) > 0)[:PICKED]
+                chosen += [spelled(w) for _, w in some]
+                toxic += [y] * len(some)
+            yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(chosen, pa.binary())], names=["y", "spelled"])
+
+    return run
 
 
 def _key_rows(model_of):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths = _lengths(model_of.value)
         for batch in batches:
-            keys = [sorted(k) for k in _keys(batch.column(0).to_pylist(), lengths)]
+            keys = [sorted(set(k.values())) for k in lengths.of(batch.column(0).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(keys, pa.list_(pa.int32()))], names=["y", "keys"])
 
     return run
@@ -200,24 +236,34 @@ def calibrated(model: ToxicModel, rows: list[tuple[int, list[int]]], toxic: int,
     return out
 
 
+def dictionaries(sample: DataFrame) -> ToxicModel:
+    """The two dictionaries from (txt, y), in rounds. The driver sees FIRST or PICKED windows of each text, PIECE * WIDTH codes long at most."""
+    context = sample.sparkSession.sparkContext
+
+    def windows_of(run) -> tuple[list[bytes], list[bytes]]:
+        rows = sample.mapInArrow(run, "y int, spelled binary").collect()
+        return [bytes(r[1]) for r in rows if r[0]], [bytes(r[1]) for r in rows if not r[0]]
+
+    toxic, usual = windows_of(_first)
+    model = ToxicModel(dictionary(toxic, TOXIC_BYTES), dictionary(usual, ORDINARY_BYTES))
+    for _ in range(ROUNDS):
+        toxic, like = windows_of(_picked(context.broadcast(model)))
+        usual = sorted(usual, key=zlib.crc32)
+        model = ToxicModel(dictionary(toxic, TOXIC_BYTES), dictionary([*like, *usual[: 3 * len(like)]], ORDINARY_BYTES))
+    return model
+
+
 def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", folds: int = 4, held: int = 2, doc: str = "doc_id", text: str = "text", most_toxic: int = TOXIC, most_ordinary: int = ORDINARY) -> ToxicModel:
-    """Dictionaries from two thirds of the sample, thresholds from the other third."""
+    """Dictionaries from most of the sample, thresholds from the rest; of rows that repeat an id the sample has the smallest text."""
     spark = docs.sparkSession
     known = labels.filter(F.col(label).isNotNull() & F.col(doc).isNotNull() & (fold(F.col(doc), folds) != held)).groupBy(F.col(doc).alias("id")).agg(F.max(label).cast("int").alias("y"))
     sizes = {r["t"]: r["count"] for r in known.groupBy((F.col("y") > 0).alias("t")).count().collect()}
     order = [F.xxhash64("id"), F.col("id")]
     chosen = known.filter("y > 0").orderBy(*order).limit(most_toxic).unionByName(known.filter("y <= 0").orderBy(*order).limit(most_ordinary))
     slim = docs.select(F.col(f"`{doc}`").alias("id"), F.col(f"`{text}`").alias("txt"))
-    sample, _ = saved(slim.join(F.broadcast(chosen), "id").select("txt", (F.col("y") > 0).cast("int").alias("y"), (F.pmod(F.xxhash64("id", F.lit(5)), F.lit(3)) == 0).alias("calibrates")), "toxic-sample")
-    each = {(r["calibrates"], r["y"]): r["count"] for r in sample.groupBy("calibrates", "y").count().collect()}
-    n1, n0 = each.get((False, 1), 0), each.get((False, 0), 0)
-    counts = sample.filter("not calibrates").select("txt", "y").mapInArrow(_word_rows, "word binary, y int").groupBy("word").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("o"))
-    counts, _ = saved(counts, "toxic-words")
-    special = counts.filter((F.col("t") >= LEAST_DOCUMENTS) & (F.col("o") * n1 * CONTRAST <= F.col("t") * n0)).orderBy(F.desc("t"), "word").limit(TRAINING_WORDS)
-    usual = counts.filter("o > 0").orderBy(F.desc("o"), "word").limit(TRAINING_WORDS * 4)
-    toxic = _dictionary([(bytes(r["word"]), r["t"]) for r in special.collect()], TOXIC_BYTES, 100)
-    ordinary = _dictionary([(bytes(r["word"]), r["o"]) for r in usual.collect()], ORDINARY_BYTES, 3)
-    model = ToxicModel(toxic, ordinary)
+    one = slim.join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min("txt").alias("txt"))
+    sample, _ = saved(one.select("txt", (F.col("y") > 0).cast("int").alias("y"), (F.pmod(F.xxhash64("id", F.lit(5)), F.lit(CALIBRATES)) == 0).alias("calibrates")), "toxic-sample")
+    model = dictionaries(sample.filter("not calibrates").select("txt", "y"))
     rows = sample.filter("calibrates").select("txt", "y").mapInArrow(_key_rows(spark.sparkContext.broadcast(model)), "y int, keys array<int>").collect()
     return calibrated(model, [(r["y"], r["keys"]) for r in rows], sizes.get(True, 0), sizes.get(False, 0))
 
@@ -228,7 +274,7 @@ def _score(model_of):
         lengths = _lengths(model)
         for batch in batches:
             for part in pieces(batch, "txt"):
-                scores = [model.score(k) for k in _keys(part.column(1).to_pylist(), lengths)]
+                scores = [model.score(k.values()) for k in lengths.of(part.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores, pa.float64())], names=["id", "score"])
 
     return run
