@@ -1,8 +1,7 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on windows of toxic and one on windows of ordinary labelled texts. A window is WIDTH
-consecutive words, one word after the other, lower-cased; a word longer than PIECE bytes counts as several that overlap by
-more than a stem. Windows are spelled out in 4-byte codes of their words' character trigrams before they are compressed: in
+Two zstandard dictionaries are trained, one on windows of toxic and one on windows of ordinary labelled texts. A window is
+WIDTH consecutive words, lower-cased; a word longer than WINDOW bytes counts as several that overlap by more than a stem. Windows are spelled out in 4-byte codes of their words' character trigrams before they are compressed: in
 plain letters a word's match saves less than zstandard's own framing costs, in codes a shared stem of a few letters is a
 long match and unknown letters are dear.
 
@@ -11,7 +10,7 @@ the windows that the dictionaries of the round before find most toxic: of every
 windows that the toxic dictionary shortens most against the ordinary one. What toxic texts share sharpens the one; what
 ordinary texts have like it sharpens the other, along with usual windows. Nothing but compressed lengths chooses.
 
-The difference of a window's two compressed lengths, in classes of its length, is then looked up in calibrated thresholds: log
+The difference of a window's two compressed lengths is then, for each length,  looked up in calibrated thresholds: log
 ratios of how many toxic and ordinary documents, none of them used for the dictionaries, have a window like it. A document's
 score is a logistic function of its two highest log ratios, so it depends on all windows of the whole text and not on its
 length.
@@ -44,12 +43,14 @@ from textquarry.llm.words import pieces
 #: Labelled documents of each class that a model is fitted on, at most; one in CALIBRATES doesn't train but calibrates.
 TOXIC, ORDINARY, CALIBRATES = 4_000, 12_000, 4
 TOXIC_BYTES, ORDINARY_BYTES, LEVEL, THRESHOLD = 16_384, 65_536, 6, 0.3
-#: Words of a window; bytes of a piece of a long word, and its overlap with the next.
-WIDTH, PIECE, OVERLAP = 2, 16, 12
+#: Words of a window (one: windows come again and their lengths are remembered); bytes of a piece of a long word, and its overlap with the next.
+WIDTH, WINDOW, OVERLAP = 1, 16, 12
 #: Training rounds, windows picked from a text in each, and windows of a text that the first dictionaries are trained on.
 ROUNDS, PICKED, FIRST = 4, 3, 16
 #: Windows whose lengths a worker remembers.
-CACHE = 300_000
+CACHE = 400_000
+#: More than any compressed length: a window has at most WIDTH * WINDOW codes of 4 bytes, and framing.
+LENGTHS = 64 * WIDTH * WINDOW
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
@@ -57,34 +58,35 @@ WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 def words(text: str) -> list[bytes]:
     """The words of a whole text in order, long ones in pieces."""
     found = WORD.findall(text.lower().encode("utf-8", "replace"))
-    if not found or max(map(len, found)) <= PIECE:
+    if not found or max(map(len, found)) <= WINDOW:
         return found
-    return [w[i : i + PIECE] for w in found for i in (range(0, max(1, len(w) - OVERLAP), PIECE - OVERLAP) if len(w) > PIECE else (0,))]
+    return [w[i : i + WINDOW] for w in found for i in (range(0, max(1, len(w) - OVERLAP), WINDOW - OVERLAP) if len(w) > WINDOW else (0,))]
 
 
-def windows(text: str) -> set[tuple[bytes, ...]]:
-    """The distinct windows of a whole text; a text of fewer words is one."""
+def windows(text: str, width: int = WIDTH) -> set[bytes]:
+    """The distinct windows of a whole text, words joined by blanks; a text of fewer words is one."""
     found = words(text)
-    if len(found) < WIDTH:
-        return {tuple(found)} if found else set()
-    return set(zip(*(found[i:] for i in range(WIDTH)), strict=False))
+    if width == 1 or not found:
+        return set(found)
+    return set(map(b" ".join, zip(*(found[i:] for i in range(width)), strict=False))) or {b" ".join(found)}
 
 
 _CODES: dict[bytes, bytes] = {}
 
 
-def _code(word: bytes) -> bytes:
-    """4-byte codes of the trigrams of ^word$."""
-    if (code := _CODES.get(word)) is None:
-        if len(_CODES) > 300_000:
-            _CODES.clear()
+def spelled(window: bytes) -> bytes:
+    """4-byte codes of the trigrams of ^word$, for each word."""
+    out = []
+    for word in window.split(b" "):
         w = b"^" + word + b"$"
-        code = _CODES[word] = b"".join(struct.pack("<I", zlib.crc32(w[i : i + 3]) * 2654435761 & 0xFFFFFFFF) for i in range(len(w) - 2))
-    return code
-
-
-def spelled(window: tuple[bytes, ...]) -> bytes:
-    return b"".join(map(_code, window))
+        for i in range(len(w) - 2):
+            g = w[i : i + 3]
+            if (code := _CODES.get(g)) is None:
+                if len(_CODES) > 200_000:
+                    _CODES.clear()
+                code = _CODES[g] = struct.pack("<I", zlib.crc32(g) * 2654435761 & 0xFFFFFFFF)
+            out.append(code)
+    return b"".join(out)
 
 
 def dictionary(samples: Iterable[bytes], size: int) -> bytes:
@@ -101,14 +103,14 @@ def dictionary(samples: Iterable[bytes], size: int) -> bytes:
 
 
 class Lengths:
-    """Compressed lengths of windows with either dictionary, as a key: their difference and the class of the ordinary one."""
+    """Compressed lengths of windows with either dictionary, as a key: their difference and the ordinary one."""
 
     def __init__(self, toxic: bytes, ordinary: bytes):
         parameters = zstandard.ZstdCompressionParameters.from_level(LEVEL, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_dict_id=0, write_checksum=0, min_match=4)
         self.compressors = [zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if d else None, compression_params=parameters) for d in (toxic, ordinary)]
-        self.cache: dict[tuple[bytes, ...], int] = {}
+        self.cache: dict[bytes, int] = {}
 
-    def learn(self, wanted: set[tuple[bytes, ...]]) -> None:
+    def learn(self, wanted: set[bytes]) -> None:
         """Puts the keys of `wanted` into the cache."""
         if len(self.cache) + len(wanted) > CACHE:
             self.cache.clear()
@@ -120,21 +122,24 @@ class Lengths:
             for c in self.compressors:
                 out = c.multi_compress_to_buffer(raw, threads=0)
                 both.append([len(out[i]) for i in range(len(out))])
-            self.cache.update((w, (o - t) * 64 + o // 8) for w, t, o in zip(part, *both, strict=True))
+            self.cache.update((w, (o - t) * LENGTHS + o) for w, t, o in zip(part, *both, strict=True))
 
-    def of(self, texts: list[str | None]) -> Iterator[dict[tuple[bytes, ...], int]]:
-        """For each text its windows' keys."""
+    def windows_of(self, texts: list[str | None]) -> Iterator[set[bytes]]:
+        """Each text's windows, their keys being learnt."""
         found = [windows(t or "") for t in texts]
         for low in range(0, len(found), 256):
             part = found[low : low + 256]
             self.learn(set().union(*part))
-            for ws in part:
-                yield {w: self.cache[w] for w in ws}
+            yield from part
+
+    def keys_of(self, texts: list[str | None]) -> Iterator[set[int]]:
+        for ws in self.windows_of(texts):
+            yield set(map(self.cache.__getitem__, ws))
 
 
 def difference(key: int) -> int:
-    """By how much the toxic dictionary shortens a window more; o // 8 is below 64, as no window is longer than WIDTH pieces."""
-    return key >> 6
+    """By how much the toxic dictionary shortens a window more."""
+    return key // LENGTHS
 
 
 @dataclass
@@ -148,12 +153,12 @@ class ToxicModel:
     def name(self) -> str:
         return hashlib.sha256(len(self.toxic).to_bytes(8, "big") + self.toxic + self.ordinary).hexdigest()
 
-    def features(self, keys: Iterable[int]) -> tuple[float, float]:
+    def features(self, keys: set[int]) -> tuple[float, float]:
         """The highest and the second highest log ratio."""
-        best = sorted((self.ratios.get(k, 0.0) for k in set(keys)), reverse=True)[:2] + [0.0, 0.0]
+        best = sorted((self.ratios.get(k, 0.0) for k in keys), reverse=True)[:2] + [0.0, 0.0]
         return best[0], best[1]
 
-    def score(self, keys: Iterable[int]) -> float:
+    def score(self, keys: set[int]) -> float:
         a, b = self.features(keys)
         w = self.weights
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, w[0] + w[1] * a + w[2] * b))))
@@ -170,11 +175,12 @@ def _lengths(model: ToxicModel) -> Lengths:
 
 
 def _first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """FIRST windows of each text by hash."""
+    """FIRST windows of each text, at random: their hashes differ from text to text, so frequent windows come often."""
     for batch in batches:
         chosen, toxic = [], []
         for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            some = sorted(map(spelled, windows(text or "")), key=zlib.crc32)[:FIRST]
+            seed = zlib.crc32((text or "").encode("utf-8", "replace"))
+            some = [spelled(w) for w in sorted(windows(text or ""), key=lambda w: (zlib.crc32(w, seed), w))[:FIRST]]
             chosen += some
             toxic += [y] * len(some)
         yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(chosen, pa.binary())], names=["y", "spelled"])
@@ -187,8 +193,8 @@ def _picked(model_of):
         lengths = _lengths(model_of.value)
         for batch in batches:
             chosen, toxic = [], []
-            for keys, y in zip(lengths.of(batch.column(0).to_pylist()), batch.column(1).to_pylist(), strict=True):
-                some = sorted((-difference(k), w) for w, k in keys.items() if difference(k) > 0)[:PICKED]
+            for ws, y in zip(lengths.windows_of(batch.column(0).to_pylist()), batch.column(1).to_pylist(), strict=True):
+                some = sorted((-difference(k), w) for w in ws if difference(k := lengths.cache[w]) > 0)[:PICKED]
                 chosen += [spelled(w) for _, w in some]
                 toxic += [y] * len(some)
             yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(chosen, pa.binary())], names=["y", "spelled"])
@@ -200,7 +206,7 @@ def _key_rows(model_of):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths = _lengths(model_of.value)
         for batch in batches:
-            keys = [sorted(set(k.values())) for k in lengths.of(batch.column(0).to_pylist())]
+            keys = [sorted(k) for k in lengths.keys_of(batch.column(0).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(keys, pa.list_(pa.int32()))], names=["y", "keys"])
 
     return run
@@ -237,19 +243,19 @@ def calibrated(model: ToxicModel, rows: list[tuple[int, list[int]]], toxic: int,
 
 
 def dictionaries(sample: DataFrame) -> ToxicModel:
-    """The two dictionaries from (txt, y), in rounds. The driver sees FIRST or PICKED windows of each text, PIECE * WIDTH codes long at most."""
+    """The two dictionaries from (txt, y), in rounds. The driver sees FIRST or PICKED windows of each text, WINDOW * WIDTH codes long at most."""
     context = sample.sparkSession.sparkContext
 
     def windows_of(run) -> tuple[list[bytes], list[bytes]]:
         rows = sample.mapInArrow(run, "y int, spelled binary").collect()
         return [bytes(r[1]) for r in rows if r[0]], [bytes(r[1]) for r in rows if not r[0]]
 
-    toxic, usual = windows_of(_first)
+    toxic, usual = map(sorted, windows_of(_first))
     model = ToxicModel(dictionary(toxic, TOXIC_BYTES), dictionary(usual, ORDINARY_BYTES))
     for _ in range(ROUNDS):
         toxic, like = windows_of(_picked(context.broadcast(model)))
-        usual = sorted(usual, key=zlib.crc32)
-        model = ToxicModel(dictionary(toxic, TOXIC_BYTES), dictionary([*like, *usual[: 3 * len(like)]], ORDINARY_BYTES))
+        some = random.Random(5).sample(usual, min(len(usual), 3 * len(like)))
+        model = ToxicModel(dictionary(toxic, TOXIC_BYTES), dictionary([*like, *some], ORDINARY_BYTES))
     return model
 
 
@@ -274,7 +280,7 @@ def _score(model_of):
         lengths = _lengths(model)
         for batch in batches:
             for part in pieces(batch, "txt"):
-                scores = [model.score(k.values()) for k in lengths.of(part.column(1).to_pylist())]
+                scores = [model.score(k) for k in lengths.keys_of(part.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores, pa.float64())], names=["id", "score"])
 
     return run
