@@ -127,8 +127,8 @@ def test_stems_in_long_words_are_whole_in_a_window():
     lengths = toxicity.Lengths(b"", b"")
     odd = {bytes(rng.integers(97, 123, toxicity.WINDOW, dtype=np.uint8)) for _ in range(200)}
     lengths.learn(odd)
-    sizes = [divmod(lengths.cache[w], toxicity.MOST_ORDINARY + 1) for w in odd]
-    assert all(toxicity.WINDOW * 4 <= t < toxicity.MOST_TOXIC and o < toxicity.MOST_ORDINARY for t, o in sizes)
+    sizes = [divmod(lengths.cache[w], toxicity.LENGTHS) for w in odd]  # the difference and the ordinary length
+    assert all(toxicity.WINDOW * 4 <= o - d < toxicity.LENGTHS // 2 and o < toxicity.LENGTHS // 2 for d, o in sizes)
 
 
 def test_rare_toxic_words_are_trained_on(spark):
