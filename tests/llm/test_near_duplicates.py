@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import os
 import re
 from collections import Counter
 
@@ -89,3 +90,44 @@ def test_an_empty_chunk_counts_no_link_again(spark):
     df = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], SCHEMA)
     got = near_duplicates(df, block_grams=600).collect()
     assert {(r.n_text_links, r.n_links, r.class_id % 3) for r in got} == {(2, 2, 0)}
+
+
+def test_rows_without_an_id(spark):
+    """A thousand of them: each text is found by its digest, copies meet once, one of each group stays."""
+    rows = [(None, sentence(i // 4, 30) + (" new end" if i % 4 == 3 else "")) for i in range(1000)] + [(5, sentence(0, 30))]
+    df = spark.createDataFrame([(d, t, "en", "s", i) for i, (d, t) in enumerate(rows)], SCHEMA).repartition(7)
+    assert result(df) == brute(rows)
+    kept = deduplicated(df).collect()
+    assert len(kept) == 250 and sum(r.doc_id == 5 for r in kept) == 1
+
+
+def test_ties_are_decided_by_the_other_columns(spark):
+    rows = [(1, sentence(1, 30), lang, f"s{n}", n) for n, lang in enumerate(["de", "en", None, "fr", "de"])] + [(1, sentence(1, 30) + ".", "xx", "s", 0), (2, None, "b", "s", 0), (2, "", "a", "s", 0)]
+    for seed in range(3):
+        df = spark.createDataFrame(rows, SCHEMA).repartition(3 + seed)
+        got = {r.doc_id: (r.text, r.lang, r.n_chars) for r in deduplicated(df).collect()}
+        assert set(got) == {1, 2} and got[2] == ("", "a", 0)
+        assert got == {r.doc_id: (r.text, r.lang, r.n_chars) for r in deduplicated(df.orderBy("n_chars")).collect()}
+
+
+def test_hubs_are_split(spark):
+    """A star of 5,000 edges and many pairs."""
+    edges = [(i, 0) for i in range(1, 5001)] + [(10_000 + 2 * i, 10_001 + 2 * i) for i in range(2000)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert len(got) == 7000 and all(got[i] == 0 for i in range(1, 5001)) and got[10_001] == 10_000
+
+
+SF = "/root/testdata/sf0.01"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_recall_against_all_pairs(spark):
+    """Linked pairs of the whole table, counted at both ends, against every pair's true similarity."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    want = {d: (c, n) for d, c, n in brute(rows)}
+    got = {r.doc_id: (r.class_id, r.n_links) for r in near_duplicates(docs).collect()}
+    linked = sum(n for _, n in want.values())
+    assert linked > 100
+    assert all(n <= want[d][1] for d, (_, n) in got.items())  # no false link
+    assert sum(n for _, n in got.values()) >= 0.99 * linked

@@ -4,8 +4,8 @@
 2. Documents with equal sets form a class; only one representative goes on, so copies never multiply.
 3. Band hashes are shuffled; in each bucket of two or more, every member gets one edge to the bucket's smallest
    member. Connected components of these edges are the candidate clusters: two texts that share a band are in one.
-4. Each representative's text is sent to its cluster once, and all pairs of a cluster are compared on their full
-   sets by block matrix products. A cluster beyond BLOCK_ROWS members or BLOCK_GRAMS n-grams is cut into chunks and
+4. Each representative's text, found again by its id and its digest, is sent to its cluster, and all pairs of a cluster
+   are compared on their full sets by block matrix products. A cluster beyond BLOCK_ROWS members or BLOCK_GRAMS n-grams is cut into chunks and
    one task compares two chunks, so no task grows with a group. Pairs are never emitted as rows: a task returns,
    for each member, its number of links and the smallest member it is joined with.
 5. Components of the verified links are the duplicate groups.
@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textquarry.llm.common import parts, saved, skewed_left_join
@@ -101,7 +101,7 @@ def _sign(gram: int, bands: int, rows: int):
                 ends = np.zeros(n + 1, np.int32)
                 ends[1:] = np.cumsum(np.isin(np.arange(n), full)) * bands
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.ascontiguousarray(banded.T).reshape(-1).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.binary()), pa.array(sizes), lists], names=["id", "key", "n_grams", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(keys, pa.binary()), pa.array(sizes), lists], names=["id", "digest", "key", "n_grams", "bands"])
 
     return run
 
@@ -163,14 +163,10 @@ def _verify(gram: int, threshold: float):
     schema = pa.schema([("key", pa.binary()), ("root", pa.binary()), ("texts", pa.int64()), ("others", pa.int64())])
 
     def finish(task: tuple | None, group: list[tuple]) -> list[tuple[bytes, bytes, int, int]]:
-        keys, copies, sets, side, known = [], [], [], [], set()
+        keys, copies, sets, side = [], [], [], []
         for key, n, chunk, text in group:
             raw = np.frombuffer((text or "").encode(), np.uint8)
             own = np.unique(gram_sets(Words(raw, np.array([0, len(raw)])), gram)[0])
-            # another row with the representative's id is not the representative; the same row twice counts once
-            if key in known or _key(own, raw.tobytes()) != key:
-                continue
-            known.add(key)
             keys.append(key)
             copies.append(n)
             sets.append(own)
@@ -187,7 +183,9 @@ def _verify(gram: int, threshold: float):
                 if row[:3] != now:
                     out += finish(now, group)
                     now, group = row[:3], []
-                group.append(row[3:])
+                # rows that repeat the representative's id and text come one after the other and count once
+                if not group or group[-1][0] != row[3]:
+                    group.append(row[3:])
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
                 out = []
@@ -197,65 +195,82 @@ def _verify(gram: int, threshold: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", gram: int = GRAM, threshold: float = THRESHOLD, recall: float = RECALL, block_rows: int = BLOCK_ROWS, block_grams: int = BLOCK_GRAMS) -> DataFrame:
-    """One row per document: doc, class_id, n_copies, n_text_links, n_links.
-
-    class_id is the smallest id in the group of documents connected by similarities >= threshold (a null only where
-    no member has an id); n_copies the documents with the same n-gram set, itself included; n_text_links the other
-    sets linked with its own; n_links the other documents linked. A text shorter than `gram` words has one n-gram,
-    its whole; null and empty texts, and others without words, link only to the very same text (null = empty).
-    Repeated rows are copies of each other. Other columns are ignored.
-    """
+def _linked(docs: DataFrame, doc: str, text: str, gram: int, threshold: float, recall: float, block_rows: int, block_grams: int) -> DataFrame:
+    """Per row: id, digest (of the text), group (a member's key), class_id, copies, texts, others."""
     spark = docs.sparkSession
     bands, rows = bands_and_rows(threshold, recall)
-    slim = docs.select(F.col(f"`{doc}`").alias("id"), F.col(f"`{text}`").alias("txt"))
+    txt = F.col(f"`{text}`")
+    slim = docs.select(F.col(f"`{doc}`").alias("id"), txt.alias("txt"), F.unhex(F.md5(F.coalesce(txt, F.lit("")).cast("binary"))).alias("digest"))
     id_type = slim.schema["id"].dataType.simpleString()
-    signs, _ = saved(slim.mapInArrow(_sign(gram, bands, rows), f"id {id_type}, key binary, n_grams long, bands array<long>"), "signs")
+    signs, _ = saved(slim.mapInArrow(_sign(gram, bands, rows), f"id {id_type}, digest binary, key binary, n_grams long, bands array<long>"), "signs")
     total = signs.count()
-    classes, _ = saved(signs.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.max("n_grams").alias("n_grams"), F.first("bands").alias("bands")), "classes")
+    rep = F.min(F.struct(F.col("id").isNull().alias("no"), "id", "digest")).alias("rep")
+    classes, _ = saved(signs.groupBy("key").agg(rep, F.count("*").alias("copies"), F.max("n_grams").alias("n_grams"), F.first("bands").alias("bands")), "classes")
 
-    buckets = classes.select("key", F.posexplode("bands").alias("band", "hash"))
-    heads = buckets.groupBy("band", "hash").agg(F.min("key").alias("head"), F.count("*").alias("n")).filter("n > 1").select("band", "hash", "head")
-    clusters = components(buckets.join(heads, ["band", "hash"]).filter("key <> head").select(F.col("key").alias("a"), F.col("head").alias("b")).distinct())
+    buckets = classes.select("key", F.posexplode("bands").alias("band", "hash")).select("key", F.struct("band", "hash").alias("bucket"))
+    heads = buckets.groupBy("bucket").agg(F.min("key").alias("head"), F.count("*").alias("n")).filter("n > 1")
+    edges = skewed_left_join(buckets, heads, "bucket", "n", bands * classes.count()).filter("key <> head")
+    clusters = components(edges.select(F.col("key").alias("a"), F.col("head").alias("b")))
     members = clusters.select(F.col("node").alias("key"), F.col("component").alias("cluster")).unionByName(clusters.select(F.col("component").alias("key"), F.col("component").alias("cluster")).distinct())
-    members, _ = saved(members.join(classes.select("key", "rep", "copies", "n_grams"), "key"), "members")
-    sizes = members.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / block_rows, F.sum("n_grams") / block_grams)).cast("int").alias("chunks"))
-    placed = members.join(sizes, "cluster").withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    placed = placed.select("key", "rep", "copies", "cluster", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
-    # the same plan at every size: small inputs would broadcast the members and hide the texts' shuffle
-    with_text = placed.hint("merge").join(slim, placed["rep"].eqNullSafe(slim["id"]))
-    spread = with_text.select("cluster", "i", "j", "key", "copies", "chunk", "txt").repartition(parts(spark), "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
+    members, _ = saved(members.join(classes.select("key", "rep.id", "rep.digest", "copies", "n_grams"), "key"), "members")
+    sizes = members.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / block_rows, F.sum("n_grams") / block_grams)).cast("int").alias("chunks"), F.count("*").alias("n"))
+    placed = skewed_left_join(members, sizes, "cluster", "n", members.count()).withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
+    # the text joins before it is sent to its chunk's tasks. The same plan at every size: small inputs would broadcast the members and hide the texts' shuffle
+    with_text = placed.hint("merge").join(slim, (placed["digest"] == slim["digest"]) & placed["id"].eqNullSafe(slim["id"])).drop(slim["id"], slim["digest"])
+    with_text = with_text.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    with_text = with_text.select("cluster", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "key", "copies", "chunk", "txt")
+    spread = with_text.repartition(parts(spark), "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "key")
     found, _ = saved(spread.mapInArrow(_verify(gram, threshold), "key binary, root binary, texts long, others long"), "links")
 
     groups = components(found.filter("key <> root").select(F.col("key").alias("a"), F.col("root").alias("b")))
     groups = groups.unionByName(groups.select(F.col("component").alias("node"), "component").distinct())
     counts = found.groupBy("key").agg(F.sum("texts").alias("texts"), F.sum("others").alias("others"))
-    named = groups.join(classes.select(F.col("key").alias("node"), "rep"), "node")
-    ids = named.groupBy("component").agg(F.min("rep").alias("class_id"))
-    linked = named.join(ids, "component").select(F.col("node").alias("key"), "class_id").join(counts, "key", "left")
-    verdict = classes.select("key", "rep", "copies").join(linked, "key", "left").select(
+    named = groups.join(classes.select(F.col("key").alias("node"), F.col("rep.id").alias("rep")), "node")
+    ids = named.groupBy("component").agg(F.min("rep").alias("class_id"), F.count("*").alias("n"))
+    linked = skewed_left_join(named, ids, "component", "n", named.count()).select(F.col("node").alias("key"), "component", "class_id").join(counts, "key", "left")
+    verdict = classes.select("key", "rep.id", "copies").join(linked, "key", "left").select(
         "key",
+        F.coalesce("component", "key").alias("group"),
         "copies",
-        F.when(F.col("texts").isNotNull(), F.col("class_id")).otherwise(F.col("rep")).alias("class_id"),
-        F.coalesce("texts", F.lit(0)).alias("n_text_links"),
-        (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+        F.when(F.col("component").isNotNull(), F.col("class_id")).otherwise(F.col("id")).alias("class_id"),
+        F.coalesce("texts", F.lit(0)).alias("texts"),
+        (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("others"),
     )
     verdict, _ = saved(verdict, "verdict")
-    joined = skewed_left_join(signs.select("id", "key"), verdict, "key", "copies", total)
-    return joined.select(F.col("id").alias(doc), "class_id", F.col("copies").alias("n_copies"), "n_text_links", "n_links")
+    return skewed_left_join(signs.select("id", "digest", "key"), verdict, "key", "copies", total).drop("key")
+
+
+def near_duplicates(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", gram: int = GRAM, threshold: float = THRESHOLD, recall: float = RECALL, block_rows: int = BLOCK_ROWS, block_grams: int = BLOCK_GRAMS) -> DataFrame:
+    """One row per document: doc, class_id, n_copies, n_text_links, n_links.
+
+    class_id is the smallest id in the group of documents connected by similarities >= threshold (a null only where
+    no member has an id); n_copies the documents with the same n-gram set, itself included; n_text_links the other
+    sets linked with its own; n_links the other documents linked. A text shorter than `gram` words has one n-gram,
+    its whole; null and empty texts, and others without words, link only to the very same text (null = empty).
+    Repeated rows are copies of each other. Other columns are ignored.
+    """
+    linked = _linked(docs, doc, text, gram, threshold, recall, block_rows, block_grams)
+    return linked.select(F.col("id").alias(doc), "class_id", F.col("copies").alias("n_copies"), F.col("texts").alias("n_text_links"), F.col("others").alias("n_links"))
 
 
 def deduplicated(docs: DataFrame, *, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each group, the one with the group's smallest id, with all columns.
+    """One document of each group, with all columns: the one with the smallest id, a null id coming last.
 
-    Of rows that repeat an id and a text one stays. An id stays if any of its rows leads a group; rows without an id
-    lead no group and all stay.
+    Of rows that repeat an id and a text the one stays whose other columns are smallest as JSON. An id with several texts
+    stays with all of them if any leads its group. Rows without an id are told apart by their texts; one leads its group
+    if no member has an id and its text digest is the smallest.
     """
-    verdict = near_duplicates(docs, doc=doc, text=text).filter(F.col(doc).isNotNull())
-    dropped = verdict.groupBy(F.col(doc).alias("_id")).agg(F.max(F.col(doc) == F.col("class_id")).alias("_leads")).filter(~F.col("_leads"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{doc}`").alias("_id"))
-    left = rows.join(dropped.select("_id"), "_id", "left_anti")
-    left = left.withColumn("_digest", F.md5(F.coalesce(F.col("row").getField(text), F.lit("")).cast("binary")))
-    first = F.row_number().over(Window.partitionBy("_id", "_digest").orderBy(F.lit(0)))
-    return left.withColumn("_n", first).filter("_id is null or _n = 1").select("row.*")
+    linked, _ = saved(_linked(docs, doc, text, GRAM, THRESHOLD, RECALL, BLOCK_ROWS, BLOCK_GRAMS).select("group", "id", "digest"), "linked")
+    own = F.struct(F.col("id").isNull().alias("no"), "id", F.when(F.col("id").isNull(), F.col("digest")).alias("digest"))
+    leads = linked.groupBy("group").agg(F.min(own).alias("lead"), F.count("*").alias("n"))
+
+    def document(id: Column, digest: Column) -> Column:
+        return F.unhex(F.md5(F.when(id.isNull(), digest).otherwise(F.concat(F.lit("id "), id.cast("string")).cast("binary"))))
+
+    judged = skewed_left_join(linked, leads, "group", "n", linked.count()).select(document(F.col("id"), F.col("digest")).alias("_key"), (own == F.col("lead")).alias("leads"))
+    gone = judged.groupBy("_key").agg(F.max("leads").alias("leads")).filter("not leads").select("_key")
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text]
+    digest = F.unhex(F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.to_json(F.struct(*others)).alias("_rest"), digest.alias("_digest"), document(F.col(f"`{doc}`"), digest).alias("_key"))
+    left = rows.join(gone, "_key", "left_anti")
+    return left.groupBy("_key", "_digest").agg(F.min_by("row", F.struct(F.col("row").getField(text).isNull(), "_rest")).alias("row")).select("row.*")
