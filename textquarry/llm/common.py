@@ -57,11 +57,10 @@ def skewed_left_join(left: DataFrame, right: DataFrame, key: str, weight: str, t
     """left join right on key, where right has one row a key and in `weight` the key's rows on the left (of `total`).
 
     The at most HOT_SHARE keys with a thousandth of all rows or more are broadcast and joined in place; all
-    others are shuffled, so no task gets more than a thousandth of the rows by one key.
+    others are shuffled, at every size, so no task gets more than a thousandth of the rows by one key.
     """
     is_hot = F.col(weight) * HOT_SHARE >= F.lit(total)
-    hot = right.filter(is_hot).select(key).withColumn("_hot", F.lit(True))
-    marked = left.join(F.broadcast(hot), key, "left")
-    by_hot = marked.filter("_hot").join(F.broadcast(right.filter(is_hot)), key, "left")
-    by_rest = marked.filter("_hot is null").join(right.filter(~is_hot), key, "left")
-    return by_hot.unionByName(by_rest).drop("_hot")
+    others = [c for c in right.columns if c != key]
+    first = left.join(F.broadcast(right.filter(is_hot).withColumn("_hot", F.lit(True))), key, "left")
+    rest = first.filter("_hot is null").drop(*others).join(right.filter(~is_hot).hint("merge"), key, "left")
+    return first.filter("_hot").unionByName(rest).drop("_hot")
