@@ -4,7 +4,7 @@ import hashlib
 import re
 
 from tests.llm.conftest import sentence
-from textquarry.llm.decontamination import decontaminate, gram_words, uncontaminated
+from textquarry.llm.decontamination import blocks, decontaminate, gram_words, uncontaminated
 
 ITEMS = "item_id long, text string"
 
@@ -49,6 +49,20 @@ def test_equals_all_windows(spark, odd):
     assert left.count() == sum(not r[5] for r in want)
 
 
+def test_an_item_beyond_a_block_is_cut(spark):
+    """One item of many blocks' size: pieces keep every window, and no block collects more than its bound."""
+    long = sentence(77, 4000)
+    w = long.split()
+    items = [(1, long), (2, sentence(78, 30)), (3, "just three words")]
+    bench = spark.createDataFrame(items, ITEMS)
+    held = [sum(len(t) for _, t in b) for _, b in blocks(bench, "item_id", "text", 8 << 10)]
+    assert len(held) > 4 and max(held) <= 8 << 10
+    rows = [(i, " ".join(w[i * 40 : i * 40 + 10 + i % 3])) for i in range(99)] + [(200, long), (201, sentence(79, 50)), (202, "only just three words more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(r) for r in decontaminate(docs, bench, keep=["doc_id"], block_bytes=8 << 10).collect()), key=repr)
+    assert got == brute(rows, items) and sum(r[5] for r in got) == 101
+
+
 def test_empty(spark, odd, none):
     assert decontaminate(none, spark.createDataFrame([(1, "a b")], ITEMS), keep=["doc_id"]).count() == 0
     assert not any(r.contaminated for r in decontaminate(odd, spark.createDataFrame([], ITEMS), keep=["doc_id"]).collect())

@@ -21,11 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textquarry.llm.common import remove, saved
 from textquarry.llm.words import Words, pieces, text_buffers
 
 WINDOW = 10
-#: Bytes of item texts that one broadcast block holds at most; a larger benchmark is joined block after block.
+#: Bytes of item texts that one broadcast block holds, about; a larger benchmark is joined block after block.
 BLOCK_BYTES = 8 << 20
+#: Bytes of a piece that a longer item is cut into; pieces share all but one word of a window, so no window is lost.
+PIECE_BYTES = 1 << 20
 
 
 def gram_words(m: int) -> tuple[int, int]:
@@ -156,16 +159,42 @@ def _scan(index_of, keep: list[str], last: bool):
     return run
 
 
-def blocks(benchmark: DataFrame, item: str, text: str, most: int = BLOCK_BYTES) -> Iterator[list[tuple[str, str]]]:
-    """The items, block by block; a block is collected only after its bytes have been summed and found within bounds."""
+def _cut(piece_bytes: int):
+    """(i, t) with long texts in pieces of at least a window each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                raw = text.encode("utf-8", "surrogatepass")
+                if len(raw) <= piece_bytes:
+                    yield pa.RecordBatch.from_pydict({"i": pa.array([item]), "t": pa.array([text])})
+                    continue
+                words = Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+                n, begin, end = len(words.hash), 0, 0
+                while end < n:
+                    end = int(np.searchsorted(words.end, words.start[begin] + piece_bytes, "right"))
+                    end = min(n, max(end, begin + WINDOW))
+                    yield pa.RecordBatch.from_pydict({"i": pa.array([item]), "t": pa.array([raw[words.start[begin] : words.end[end - 1]].decode("utf-8", "surrogatepass")])})
+                    begin = max(end - WINDOW + 1, 0)
+
+    return run
+
+
+def blocks(benchmark: DataFrame, item: str, text: str, most: int = BLOCK_BYTES) -> Iterator[tuple[int, list[tuple[str, str]]]]:
+    """How many blocks are left, and the items of the next; one block at a time is collected, after the bytes have been summed.
+
+    A benchmark beyond `most` is cut into pieces and dealt by hash over enough blocks to be half full on average.
+    """
     items = benchmark.select(F.col(item).cast("string").alias("i"), F.col(text).alias("t")).filter("t is not null and i is not null")
     total = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
-    n = max(1, -(-2 * total // most)) if total > most else 1
-    for b in range(n):
-        mine = items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b) if n > 1 else items
-        found = [(r.i, r.t) for r in mine.collect()]
-        if found:
-            yield found
+    n = -(-2 * total // most) if total > most else 1
+    if n > 1:
+        items, _ = saved(items.mapInArrow(_cut(max(1, min(PIECE_BYTES, most // 8))), "i string, t string"), "benchmark")
+    block = F.pmod(F.xxhash64("i", "t"), F.lit(n))
+    used = sorted(r.b for r in items.select(block.alias("b")).distinct().collect()) if n > 1 else [0]
+    for k, b in enumerate(used):
+        mine = items.filter(block == b) if n > 1 else items
+        yield len(used) - k - 1, [(r.i, r.t) for r in mine.collect()]
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", keep: list[str] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -173,17 +202,23 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
 
     Null and empty texts have no words and no hits; an item of no words, or with a null id, is not looked for;
     repeated item ids count once; repeated documents each get a row; an empty benchmark hits nothing. Extra columns
-    are only carried when named in `keep`.
+    are only carried when named in `keep`. The driver and each worker hold one block of items; between blocks the documents
+    and their hits so far are written to the shared folder.
     """
     spark = docs.sparkSession
     keep = list(keep or [])
     names = [f"c{i}" for i in range(len(keep))]
     df = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)], F.col(f"`{text}`").alias("txt"), F.array().cast("array<long>").alias("spans"), F.array().cast("array<string>").alias("items"))
     counted = T.StructType([df.schema[n] for n in names]).add("n_words", "long").add("n_hit", "long").add("n_items", "long").add("items_sha256", "string").add("contaminated", "boolean")
-    found = [spark.sparkContext.broadcast(ItemIndex(b)) for b in blocks(benchmark, item, item_text, block_bytes)] or [spark.sparkContext.broadcast(ItemIndex([]))]
-    for i, index in enumerate(found):
-        last = i == len(found) - 1
-        df = df.mapInArrow(_scan(index, names, last), counted if last else df.schema)
+    path = None
+    for left, block in blocks(benchmark, item, item_text, block_bytes):
+        index = spark.sparkContext.broadcast(ItemIndex(block))
+        df = df.mapInArrow(_scan(index, names, not left), df.schema if left else counted)
+        if left:
+            before, (df, path) = path, saved(df, "hits")
+            index.unpersist()
+            if before:
+                remove(spark, before)
     for c, n in zip(keep, names, strict=True):
         df = df.withColumnRenamed(n, c)
     return df
