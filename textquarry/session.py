@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -32,3 +33,17 @@ def steady(spark: SparkSession) -> SparkSession:
     """
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share, by spark.checkpoint.dir.
+
+    Where none is set, a local session gets a temporary one; a cluster must name one, as its machines share no local folder.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='textquarry-')}"
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")

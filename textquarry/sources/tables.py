@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.session import steady
+from textquarry.session import shared_folder, steady
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,10 +53,6 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def saved(df: DataFrame) -> DataFrame:
     """df written to the folder that all executors share, and reread: cuts the lineage of driver loops."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='textquarry-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/textquarry/saved-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/textquarry/saved-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
