@@ -53,3 +53,12 @@ def test_record_is_one_gzip_member():
     head, payload = warc.parsed(raw)
     assert (head["WARC-Type"], payload) == ("response", b"abc")
     assert warc.url_key("HTTP://User@WWW.a.Com:8080/x y?q#f") == "com,a,www:8080)/x%20y?q"
+
+
+def test_text_ids_and_equal_addresses(spark):
+    """Ids of any type come back; rows equal in id and URL are ordered by their payload."""
+    rows = [("p 1", "http://a.example/x", "one"), ("p 1", "http://a.example/x", "two"), ("q/2", "http://a.example/x", "one"), (None, None, "three")]
+    df = spark.createDataFrame(rows, "page_id string, url string, html string")
+    directory, folder = warc.archived(spark, df.repartition(2))
+    got = sorted(((r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in warc.read_archives(directory, folder, "string").collect()), key=repr)
+    assert got == sorted([("p 1", "response", None, 3), ("p 1", "response", None, 3), ("q/2", "revisit", "p 1", 3), (None, "response", None, 5)], key=repr)

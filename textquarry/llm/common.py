@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.session import steady
+from textquarry.session import shared_folder, steady
 
 #: A key that holds at least one row in HOT_SHARE is hot, so at most HOT_SHARE keys are: a proven bound for a broadcast.
 HOT_SHARE = 1000
@@ -18,17 +17,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return steady(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; the session's setting wins, a temporary one serves only where none is set (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='textquarry-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/textquarry/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/textquarry/{name}-{uuid.uuid4().hex}"
 
 
 def saved(df: DataFrame, name: str) -> tuple[DataFrame, str]:

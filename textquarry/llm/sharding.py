@@ -75,12 +75,12 @@ def schedule(sizes: list[tuple[int, int]], shards: int) -> list[tuple[int, list[
     return out
 
 
-def numbered(df: DataFrame, key: str, order: list[str], into: str, spread: str) -> DataFrame:
-    """df with `into`: 0, 1, ... within each key, by a hash bucket of column `spread` first and `order` within it."""
+def numbered(df: DataFrame, key: str, order: list[str], into: str, spread: str, total: int) -> DataFrame:
+    """df (of `total` rows) with `into`: 0, 1, ... within each key, by a hash bucket of column `spread` first and `order` within it."""
     totals = df.groupBy(key).agg(F.count("*").alias("_n"))
     # one row a key; sizes of buckets follow the rows of the key
     cut = F.ceil(F.col("_n") / BUCKET_ROWS).cast("int")
-    bucketed = df.join(totals.filter(F.col("_n") > BUCKET_ROWS), key, "left").withColumn("_b", F.pmod(F.xxhash64(spread), F.coalesce(cut, F.lit(1)).cast("long"))).drop("_n")
+    bucketed = skewed_left_join(df, totals, key, "_n", total).withColumn("_b", F.pmod(F.xxhash64(spread), F.coalesce(cut, F.lit(1)).cast("long"))).drop("_n")
     counts = bucketed.groupBy(key, "_b").agg(F.count("*").alias("_c"))
     before = F.sum("_c").over(Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
     starts = counts.withColumn("_start", F.coalesce(before, F.lit(0))).filter("_b > 0").select(key, "_b", "_start")
@@ -102,9 +102,10 @@ def shard_groups(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", sh
     groups, _ = saved(slim.groupBy("key").agg(F.count("*").alias("copies"), F.sum("size").alias("weight")), "shard-groups")
     total = slim.count()
     plan = schedule([tuple(r) for r in groups.groupBy("weight").count().collect()], shards)
-    ends = spark.createDataFrame(plan, "weight long, ends array<long>")
-    ranked = numbered(groups, "weight", ["key"], "rank", "key")
-    placed = ranked.join(ends, "weight").select("key", "copies", F.size(F.filter("ends", lambda e: e <= F.col("rank"))).alias("shard"))
+    ends = spark.createDataFrame([(size, ends, ends[-1]) for size, ends in plan], "weight long, ends array<long>, n long")
+    n = sum(ends[-1] for _, ends in plan)
+    ranked = numbered(groups, "weight", ["key"], "rank", "key", n)
+    placed = skewed_left_join(ranked, ends, "weight", "n", n).select("key", "copies", F.size(F.filter("ends", lambda e: e <= F.col("rank"))).alias("shard"))
     joined = skewed_left_join(slim, placed, "key", "copies", total)
-    out = numbered(joined.select("id", "size", "crc", "key", "shard"), "shard", ["id", "key"], "slot", "id")
+    out = numbered(joined.select("id", "size", "crc", "key", "shard"), "shard", ["id", "key"], "slot", "id", total)
     return out.select(F.col("id").alias(doc), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))

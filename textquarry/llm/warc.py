@@ -6,8 +6,8 @@ compressed blocks of BLOCK_LINES and keeps one directory row a block. Reading st
 the index file and the block by binary search and then reads byte ranges only; read_archives() walks all blocks.
 
 Archives, index files and tables lie in one folder that all executors share. Files are written under a name of their
-attempt and then moved to the name of their partition. Rows are sorted within a partition and records hold nothing
-that differs between attempts, so a lost executor's task writes the same bytes again and ranges stay true.
+attempt and then moved to the name of their partition. Rows are totally ordered within a partition (id, URL, payload digest; equal
+rows make equal records) and records hold nothing that differs between attempts, so a lost executor's task writes the same bytes again and ranges stay true.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
-from urllib.parse import quote, urlsplit
+from urllib.parse import quote, unquote, urlsplit
 
 import pyarrow as pa
 from pyarrow import fs
@@ -45,18 +45,18 @@ def record_id(page: object, digest: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page}:{digest}')}>"
 
 
-def record(page: int | None, url: str | None, payload: bytes, digest: str, response: bool, first: int | None) -> bytes:
+def record(page: object, url: str | None, payload: bytes, digest: str, response: bool, first: object) -> bytes:
     """One WARC record as a gzip member; a revisit has no payload but its length and digest."""
     head = ["WARC/1.1", f"WARC-Type: {'response' if response else 'revisit'}", f"WARC-Record-ID: {record_id(page, digest)}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {quote(url or '-', safe=''.join(map(chr, range(33, 127))))}", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {len(payload)}"]
     if page is not None:
-        head.append(f"X-Page-Id: {page}")
+        head.append(f"X-Page-Id: {quote(str(page), safe='')}")
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     if response:
         block = http + payload
     else:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(first, digest)}"]
         if first is not None:
-            head.append(f"X-Refers-To-Page-Id: {first}")
+            head.append(f"X-Refers-To-Page-Id: {quote(str(first), safe='')}")
         block = http
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return gzip.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n", 6, mtime=0)
@@ -140,7 +140,7 @@ def write_archives(pages: DataFrame, folder: str, *, page: str = "page_id", url:
     total = groups.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
     joined = skewed_left_join(rows, groups, "digest", "copies", total)
     response = (F.octet_length("payload") < least_revisit) | F.col("id").eqNullSafe(F.col("first"))
-    ready = joined.select("id", "url", "payload", "first", response.alias("response")).sortWithinPartitions("id", "url")
+    ready = joined.select("id", "url", "payload", "first", response.alias("response"), "digest").sortWithinPartitions("id", "url", "digest")
     captures, _ = saved(ready.mapInArrow(_writer(folder), CAPTURE.format(id=rows.schema["id"].dataType.simpleString())), "captures")
     return captures
 
@@ -158,7 +158,7 @@ def _indexer(folder: str, lines: int):
 
         for batch in batches:
             for key, page, file, offset, length in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                block.append(f"{key} {'-' if page is None else page} {file} {offset} {length}\n")
+                block.append(f"{key} {'-' if page is None else quote(str(page), safe='')} {file} {offset} {length}\n")
                 if len(block) == lines:
                     flush()
         if block:
@@ -196,18 +196,19 @@ class _Ranges:
         return [x.split(" ") for x in zlib.decompress(self.read(file, offset, length), 31).decode().splitlines()]
 
 
-RECORD = "page_id long, key string, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
+RECORD = "page_id string, key string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string"
 
 
 def _reader(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranges = _Ranges(folder)
-        types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+        types = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
         names = [x.split()[0] for x in RECORD.split(", ")]
         for batch in batches:
             for file, offset, length in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 rows = []
-                for key, _, warc, at, size in ranges.lines(file, offset, length):
+                # in the order of the files, so that a block's ranges are read forwards
+                for key, _, warc, at, size in sorted(ranges.lines(file, offset, length), key=lambda x: (x[2], int(x[3]))):
                     head, payload = parsed(ranges.read(warc, int(at), int(size)))
                     n, digest, kind = int(head["X-Payload-Length"]), head["WARC-Payload-Digest"].removeprefix("sha1:"), head["WARC-Type"]
                     if kind == "response":
@@ -215,17 +216,20 @@ def _reader(folder: str):
                         if found != digest:
                             raise ValueError(f"{warc} at {at}: payload digest {found}, header {digest}")
                     page, first = head.get("X-Page-Id"), head.get("X-Refers-To-Page-Id")
-                    rows.append((page and int(page), key, head["WARC-Target-URI"], n, digest, kind, first and int(first)))
+                    rows.append((page and unquote(page), key, head["WARC-Target-URI"], n, digest, kind, first and unquote(first)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     return run
 
 
-def read_archives(directory: DataFrame, folder: str) -> DataFrame:
-    """Every record, found through the index: blocks are dealt over the tasks, their lines give the records' ranges."""
+def read_archives(directory: DataFrame, folder: str, page_type: str = "long") -> DataFrame:
+    """Every record, found through the index: blocks are dealt over the tasks, their lines give the records' ranges.
+
+    page_id, key, url, payload_bytes, payload_digest, record_type, refers_to; ids are cast to `page_type`.
+    """
     n = parts(directory.sparkSession)
     dealt = directory.select("file", "offset", "length").repartition(n, F.xxhash64("file", "offset"))
-    return dealt.mapInArrow(_reader(folder), RECORD)
+    return dealt.mapInArrow(_reader(folder), RECORD).withColumns({c: F.col(c).cast(page_type) for c in ("page_id", "refers_to")})
 
 
 @dataclass
