@@ -104,8 +104,10 @@ def shard_groups(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", sh
     plan = schedule([tuple(r) for r in groups.groupBy("weight").count().collect()], shards)
     ends = spark.createDataFrame([(size, ends, ends[-1]) for size, ends in plan], "weight long, ends array<long>, n long")
     n = sum(ends[-1] for _, ends in plan)
-    ranked = numbered(groups, "weight", ["key"], "rank", "key", n)
+    # each step is written: a skewed join reads its left side twice, so nested ones would double the plan each time
+    ranked, _ = saved(numbered(groups, "weight", ["key"], "rank", "key", n), "shard-ranks")
     placed = skewed_left_join(ranked, ends, "weight", "n", n).select("key", "copies", F.size(F.filter("ends", lambda e: e <= F.col("rank"))).alias("shard"))
-    joined = skewed_left_join(slim, placed, "key", "copies", total)
-    out = numbered(joined.select("id", "size", "crc", "key", "shard"), "shard", ["id", "key"], "slot", "id", total)
+    placed, _ = saved(placed, "shard-places")
+    joined, _ = saved(skewed_left_join(slim, placed, "key", "copies", total).select("id", "size", "crc", "key", "shard"), "shard-joined")
+    out = numbered(joined, "shard", ["id", "key"], "slot", "id", total)
     return out.select(F.col("id").alias(doc), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
