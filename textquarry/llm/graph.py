@@ -13,8 +13,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round hangs every node's larger neighbours, then its smaller ones, on its smallest neighbour; hubs
     therefore shed their neighbours and no node keeps a long list. Minima are partial aggregates, one row a node, and the few hubs
-    that hold a thousandth of all edges get theirs by a broadcast, so no task takes a hub's edges. Each round's edges are
-    written to the shared folder; the round before is then deleted. Nodes without an edge are absent; an empty input
+    that hold a thousandth of all edges get theirs by a broadcast, so no task takes a hub's edges. Each half
+    round's edges are written to the shared folder; those before are then deleted. Nodes without an edge are absent; an empty input
     gives an empty result.
     """
     spark = edges.sparkSession
@@ -26,11 +26,12 @@ def components(edges: DataFrame) -> DataFrame:
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
         large = skewed_left_join(both, least, "u", "n", 2 * before[0]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # small star: every smaller neighbour and the node to the smallest neighbour
-        small = large.filter("u > v").distinct()
+        small, small_path = saved(large.filter("u > v").distinct(), "edges")
         least = small.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         new = skewed_left_join(small, least, "u", "n", before[0]).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u > v").distinct()
         new, new_path = saved(new, "edges")
         remove(spark, path)
+        remove(spark, small_path)
         now, path, after = new, new_path, _sum(new)
         if after == before:
             break
