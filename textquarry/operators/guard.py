@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 BLOCK_BYTES = 48 << 20
 
 
-def blocks_of(df: DataFrame, most: int = BLOCK_BYTES) -> Iterator[DataFrame]:
-    """df in hash blocks small enough to broadcast, by the measured size of its rows as text."""
-    size = df.select(F.octet_length(F.to_json(F.struct("*"))).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    n = max(1, -(-2 * size // most)) if size > most else 1
+def blocks_of(df: DataFrame, most: int = BLOCK_BYTES, row_bytes: int = 0) -> Iterator[DataFrame]:
+    """df in hash blocks small enough to broadcast, by the measured size of its rows as text and `row_bytes` more a row (what is made of it)."""
+    size = F.coalesce(F.sum("n"), F.lit(0)) + F.count("*") * row_bytes
+    total = df.select(F.octet_length(F.to_json(F.struct("*"))).alias("n")).agg(size).first()[0]
+    n = max(1, -(-2 * total // most)) if total > most else 1
     for b in range(n):
         yield df if n == 1 else df.filter(F.pmod(F.xxhash64(*df.columns), F.lit(n)) == b)
