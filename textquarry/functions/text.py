@@ -81,9 +81,16 @@ def coded(grams: Column) -> Column:
     return F.transform(grams, lambda g: F.xxhash64(g))
 
 
-def jaccard(a: Column, b: Column) -> Column:
-    """|a & b| / |a | b| of arrays of distinct values; 0 where either is empty."""
-    both = F.size(F.array_intersect(a, b))
+def overlap(a: Column, b: Column) -> Column:
+    return F.size(F.array_intersect(a, b))
+
+
+def jaccard(a: Column, b: Column, both: Column | None = None) -> Column:
+    """|a & b| / |a | b| of arrays of distinct values; 0 where either is empty.
+
+    `both` is their overlap() where it is a column already: used twice here, an expression would be computed twice.
+    """
+    both = overlap(a, b) if both is None else both
     return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(both / (F.size(a) + F.size(b) - both))
 
 

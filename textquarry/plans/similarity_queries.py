@@ -191,7 +191,8 @@ def jaccard_benchmark(spark, sf):
     asked = tables.read(spark, sf, "benchmark").select("item_id", t.coded(t.ngrams(t.normalized(F.col("text")))).alias("ig"))
     out = None
     for part in blocks_of(asked):
-        one = docs.join(F.broadcast(part), t.jaccard_bound(F.size("dg"), F.size("ig")) >= 0.2).select("item_id", "doc_id", t.jaccard(F.col("ig"), F.col("dg")).alias("jaccard")).filter("jaccard >= 0.2")
+        pairs = docs.join(F.broadcast(part), t.jaccard_bound(F.size("dg"), F.size("ig")) >= 0.2).withColumn("both", t.overlap(F.col("ig"), F.col("dg")))
+        one = pairs.select("item_id", "doc_id", t.jaccard(F.col("ig"), F.col("dg"), F.col("both")).alias("jaccard")).filter("jaccard >= 0.2")
         out = one if out is None else out.unionByName(one)
     return out
 
