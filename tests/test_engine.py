@@ -61,3 +61,29 @@ def test_life_of_two_sites(spark, tmp_path):
         e.run_job(own, "audit", lambda: 1 / 0)
     e.delete_site(base)
     assert e.stats() == {"sites": 1, "pages": 1, "content_blocks": 3, "similarity_checks": 1}
+
+
+def test_live_walk_of_a_site(spark, tmp_path):
+    """A cycle, a redirect, a whitelist, policy, a fault and a budget that cuts."""
+    e = Engine(spark, f"file://{tmp_path}/walk")
+    site = e.create_site("S", "s.example", exclude_patterns=["/private"], allowed_query_params=["page"], crawler_max_pages=6)
+    to = lambda *hrefs: "<!doctype html>" + "".join(f'<a href="{x}">x</a>' for x in hrefs) + "<p>some words of a page</p>"
+    web = {
+        "https://s.example/": to("/b", "/about", "/private/x", "/list?page=2&utm=1", "https://other.example/"),
+        "https://s.example/about": to("/", "/old"), "https://s.example/b": to("/", "/late"), "https://s.example/list?page=2": to("/list?page=2"),
+        "https://s.example/old": to("/new2"), "https://s.example/late": to("/never"),
+    }
+    calls = []
+
+    def fetch(urls):
+        calls.append(urls)
+        final = {"https://s.example/old": "https://s.example/moved"}
+        rows = [(x, final.get(x, x), 200, "text/html", web[x], None) if x in web else (x, None, None, None, None, "gone") for x in urls]
+        return spark.createDataFrame(rows, "url string, final_url string, http_status int, content_type string, html string, error string")
+
+    pages, links = e.fetched(site, fetch)
+    assert calls == [["https://s.example/"], ["https://s.example/about", "https://s.example/b", "https://s.example/list?page=2"], ["https://s.example/old", "https://s.example/late"]]
+    rows = {r.url: r for r in pages.collect()}
+    assert len(rows) == 6 and rows["https://s.example/moved"].asked == "https://s.example/old" and all(r.error is None for r in rows.values())
+    assert [r.url for r in e.skipped(links)] == ["https://s.example/private/x"]
+    assert e.crawl(site, pages)["pages_crawled"] == 6

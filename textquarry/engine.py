@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Callable
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, Row, SparkSession, Window
@@ -22,6 +23,8 @@ from textquarry.functions import urls as u
 from textquarry.operators import crawl, jobs, similarity
 from textquarry.session import steady
 from textquarry.settings import DEFAULT, Settings
+from textquarry.sources import tables
+from textquarry.sources.http import HttpPages
 from textquarry.sources.sinks import check_rows
 
 BLOCKS = T.StructType([f for f in schema.CONTENT_BLOCKS.fields if f.name != "embedding"])
@@ -209,6 +212,26 @@ class Engine:
         reason = F.coalesce(u.policy_reason(F.col("url"), include, exclude, F.lit(home)), F.when(u.is_product_page(F.col("url"), text), u.REASON_PAGE))
         return rows.withColumns({"error": F.coalesce("fault", "p.error"), "reason": reason})
 
+    def fetched(self, site_id: int, fetch: Callable[[list[str]], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+        """Walks a site live, within its page budget and with its delay: pages for crawl() or preview(), and the links with
+        why some weren't followed. `fetch` replaces the HTTP source."""
+        site = self._site(site_id)
+
+        def live(urls: list[str]) -> DataFrame:
+            self.spark.dataSource.register(HttpPages)
+            reader = self.spark.read.format("pages").option("urls", "\n".join(urls)).option("domains", site.domain)
+            return reader.option("delay_ms", str(site.request_delay_ms or 0)).load()
+
+        home = f"https://{site.domain}/"
+        include, exclude, allowed = (F.array(*map(F.lit, x)) if x else F.array().cast("array<string>") for x in (site.include_patterns, site.exclude_patterns, site.allowed_query_params))
+        reason = lambda url: u.policy_reason(url, include, exclude, F.lit(home))
+        pages, links = crawl.live_walk(home, site.domain, fetch or live, site.crawler_max_pages or self.cfg.crawler_max_pages, reason, tables.saved, allowed)
+        return pages.orderBy("rank").dropDuplicates(["url"]), links
+
+    def skipped(self, links: DataFrame) -> list[Row]:
+        """The first MOST_LISTED links that weren't followed, with the reason."""
+        return links.filter("reason is not null").orderBy("url").limit(MOST_LISTED).collect()
+
     def preview(self, site_id: int, fetched: DataFrame) -> DataFrame:
         """What a crawl would do with each page; nothing is written."""
         rows = self._classified(self._site(site_id), fetched)

@@ -12,6 +12,9 @@ from itertools import count
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textquarry.functions import html as h
+from textquarry.functions import urls as u
+
 
 def changes(stored: DataFrame, fetched: DataFrame) -> DataFrame:
     """site_id, url, change: new, unchanged or changed by the page digest; missing where a stored page wasn't fetched."""
@@ -107,3 +110,32 @@ def walk(start: DataFrame, links: DataFrame, maximum: int, save: Callable[[DataF
             break
         seen = save(seen.unionByName(new))
     return seen
+
+
+def live_walk(home: str, domain: str, fetch: Callable[[list[str]], DataFrame], maximum: int, reason: Callable[[Column], Column], save: Callable[[DataFrame], DataFrame], allowed: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Fetches a site breadth first from `home`, at most `maximum` pages.
+
+    fetch(urls) gives url, final_url, http_status, content_type, html, error; reason(url) says why a link is not followed, or
+    null. Returns the pages (url after redirects in uniform form, asked, rank, http_status, content_type, html, error) and the
+    links found (url, reason). A level is fetched at once; the next one's order is that of its parents, then of their links.
+    The driver holds the URLs within `maximum` only; pages and links are written level by level by `save`.
+    """
+    front, asked, pages, links = [home], {home}, None, None
+    while front:
+        spark_rows = list(enumerate(front, len(asked) - len(front) + 1))
+        got = fetch(front)
+        ranks = got.sparkSession.createDataFrame(spark_rows, "rank long, url string")
+        link = F.coalesce(u.uniform_link(F.col("final_url"), F.col("url"), F.lit(domain), allowed), F.col("url"))
+        fault = F.coalesce("error", F.when(~h.is_html(F.coalesce("html", F.lit("")), F.coalesce("content_type", F.lit(""))), "not HTML"))
+        level = save(got.join(F.broadcast(ranks), "url").select(link.alias("url"), F.col("url").alias("asked"), "rank", "http_status", "content_type", "html", fault.alias("error")))
+        targets = level.filter("error is null").select("url", "rank", h.extract_targets(F.col("html"), F.col("url")).alias("l"))
+        each = targets.select("rank", F.posexplode(h.internal_links(F.col("l"), F.col("url"), F.lit(domain), allowed)).alias("position", "link"))
+        found = each.groupBy(F.col("link").alias("url")).agg(F.min(F.struct("rank", "position")).alias("o"))
+        found = save(found.withColumn("reason", reason(F.col("url"))))
+        pages = level if pages is None else pages.unionByName(level)
+        links = found if links is None else links.unionByName(found)
+        known = got.sparkSession.createDataFrame([(x,) for x in sorted(asked)], "url string")
+        new = found.filter("reason is null").join(F.broadcast(known), "url", "left_anti").orderBy("o").limit(max(0, maximum - len(asked)))
+        front = [r.url for r in new.select("url").collect()]
+        asked |= set(front)
+    return pages, links.select("url", "reason").distinct()

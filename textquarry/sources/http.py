@@ -7,6 +7,7 @@
 from __future__ import annotations
 
 import http.client
+import time
 from collections.abc import Iterator
 from urllib.parse import urljoin, urlsplit
 
@@ -64,26 +65,31 @@ def fetch(url: str, domains: set[str], timeout: float = 15, public=resolves_publ
     raise ValueError("too many redirects")
 
 
-class _Url(InputPartition):
-    def __init__(self, url: str):
-        super().__init__(url)
-        self.url = url
+class _Urls(InputPartition):
+    def __init__(self, urls: list[str]):
+        super().__init__(urls)
+        self.urls = urls
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.urls = [u for u in options.get("urls", "").split("\n") if u.strip()]
         self.domains = {d for d in options.get("domains", "").split(",") if d.strip()}
+        self.delay = int(options.get("delay_ms", "0"))
 
     def partitions(self) -> list[InputPartition]:
-        return [_Url(u) for u in self.urls]
-
-    def read(self, partition: _Url) -> Iterator[tuple]:
-        try:
-            final, status, kind, body = fetch(partition.url, self.domains)
-            yield partition.url, final, status, kind, body.decode("utf-8", "replace"), None
-        except Exception as fault:  # noqa: BLE001  one bad page must not end the read
-            yield partition.url, None, None, None, None, str(fault)[:180]
+        """One a URL; with a delay between a site's requests one for all."""
+        return [_Urls(self.urls)] if self.delay else [_Urls([u]) for u in self.urls]
+
+    def read(self, partition: _Urls) -> Iterator[tuple]:
+        for i, url in enumerate(partition.urls):
+            if i and self.delay:
+                time.sleep(self.delay / 1000)
+            try:
+                final, status, kind, body = fetch(url, self.domains)
+                yield url, final, status, kind, body.decode("utf-8", "replace"), None
+            except Exception as fault:  # noqa: BLE001  one bad page must not end the read
+                yield url, None, None, None, None, str(fault)[:180]
 
 
 class HttpPages(DataSource):
