@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -35,15 +36,31 @@ def steady(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: The temporary folder of each local application; a running session's spark.checkpoint.dir can't be set.
+_LOCAL: dict[str, str] = {}
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its scheme and authority: one without a scheme lies in the cluster's default file system.
+
+    Whoever opens files without Spark needs this form, as a bare path means a local disk to other libraries.
+    """
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toString()
+    return re.sub(r"^file:/+", "file:///", found).rstrip("/")
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, by spark.checkpoint.dir.
+    """The folder that the driver and all executors share, by spark.checkpoint.dir, with its scheme.
 
     Where none is set, a local session gets a temporary one; a cluster must name one, as its machines share no local folder.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        application = spark.sparkContext.applicationId
         if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='textquarry-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+        if application not in _LOCAL:
+            _LOCAL[application] = f"file://{tempfile.mkdtemp(prefix='textquarry-')}"
+        found = _LOCAL[application]
+    return qualified(spark, found)
