@@ -4,6 +4,8 @@ import base64
 import gzip
 import hashlib
 
+import pytest
+
 from textquarry.llm import warc
 from textquarry.llm.common import fresh_path
 
@@ -62,3 +64,13 @@ def test_text_ids_and_equal_addresses(spark):
     directory, folder = warc.archived(spark, df.repartition(2))
     got = sorted(((r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in warc.read_archives(directory, folder, "string").collect()), key=repr)
     assert got == sorted([("p 1", "response", None, 3), ("p 1", "response", None, 3), ("q/2", "revisit", "p 1", 3), (None, "response", None, 5)], key=repr)
+
+
+def test_archives_go_only_where_executors_can_open_them(spark, tmp_path):
+    assert warc.openable("file:///x/y") == "file:///x/y"
+    assert warc.openable("s3a://bucket/x") == "s3://bucket/x"
+    for folder in ("/x/y", "o3fs://volume/x", "file:/x"):
+        with pytest.raises(ValueError, match="archives"):
+            warc.openable(folder)
+    # a bare path is qualified before it is used
+    assert warc.openable(fresh_path(spark, "warc")).startswith("file:///")

@@ -71,8 +71,21 @@ def parsed(raw: bytes) -> tuple[dict[str, str], bytes]:
     return headers, block.partition(b"\r\n\r\n")[2]
 
 
+#: Schemes that Hadoop knows, and what pyarrow calls the same store. Fixed values.
+SCHEMES = {"file": "file", "hdfs": "hdfs", "viewfs": "viewfs", "s3": "s3", "s3a": "s3", "s3n": "s3", "gs": "gs", "abfs": "abfs", "abfss": "abfss"}
+
+
+def openable(folder: str) -> str:
+    """The folder's address as pyarrow opens it; a store that it can't open, or a path without a scheme, is refused here,
+    on the driver, before a task writes to its own disk."""
+    scheme, colon, rest = folder.partition("://")
+    if not colon or scheme not in SCHEMES:
+        raise ValueError(f"archives can't be written to {folder}: name a folder in one of {', '.join(SCHEMES)}")
+    return f"{SCHEMES[scheme]}://{rest}"
+
+
 def _opened(folder: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(folder)
+    return fs.FileSystem.from_uri(openable(folder))
 
 
 class _Part:
@@ -260,4 +273,5 @@ def lookup(directory: DataFrame, folder: str, url: str) -> list[Found]:
 def archived(spark: SparkSession, pages: DataFrame, **columns: str) -> tuple[DataFrame, str]:
     """Writes archives and index into a new shared folder; returns the directory and the folder."""
     folder = fresh_path(spark, "warc")
+    openable(folder)
     return write_index(write_archives(pages, folder, **columns), folder), folder
