@@ -63,4 +63,28 @@ FROM m
 """
 
 
-ORACLES: dict[str, str] = {"op2_quality_rules": op2(), "op6_decontamination": OP6}
+
+def op11(rounds: int = 5) -> str:
+    """Lloyd's rounds one after the other, every vector against every centroid."""
+    fine = "len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64 AND len(embedding) = 64"
+    sql = f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings WHERE {fine}),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || CAST(vec_id AS VARCHAR)) NULLS LAST, e) - 1 AS c, e AS p FROM v QUALIFY c < 40),
+i AS (SELECT unnest(range(1, 65)) AS i)"""
+    nearest = "SELECT r, min(list_sum(list_transform(range(1, 65), lambda i: (e[i] - p[i]) * (e[i] - p[i]))) * 64 + c) AS m FROM v, c{n} GROUP BY r"
+    for n in range(rounds):
+        sql += f""",
+a{n} AS MATERIALIZED ({nearest.format(n=n)}),
+s{n} AS (SELECT CAST(m % 64 AS BIGINT) AS c, i, sum(e[i]) AS s, count(*) AS n FROM a{n} JOIN v USING (r), i GROUP BY 1, 2),
+m{n} AS (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS p FROM s{n} GROUP BY c),
+c{n + 1} AS MATERIALIZED (SELECT c, coalesce(m{n}.p, c{n}.p) AS p FROM c{n} LEFT JOIN m{n} USING (c))"""
+    return sql + f""",
+a AS MATERIALIZED ({nearest.format(n=rounds)}),
+f AS (SELECT vec_id, CAST(m % 64 AS INTEGER) AS cluster, CAST(m // 64 AS BIGINT) AS distance FROM a JOIN v USING (r))
+SELECT vec_id, cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(p, ',')) AS centroid_sha256
+FROM f JOIN c{rounds} ON c = cluster
+"""
+
+
+ORACLES: dict[str, str] = {"op2_quality_rules": op2(), "op6_decontamination": OP6, "op11_centroids": op11()}

@@ -1,4 +1,4 @@
-"""The ten operators' queries over their whole tables, and SQL for those that SQL can express."""
+"""The operators' queries over their whole tables, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from textquarry.llm import byte_bpe, decontamination, near_duplicates, pii, quality_classifier, quality_rules, secrets, sharding, toxicity, warc
+from textquarry.llm import byte_bpe, centroids, decontamination, near_duplicates, pii, quality_classifier, quality_rules, secrets, sharding, toxicity, warc
 from textquarry.llm.common import table
 from textquarry.llm.oracles import ORACLES  # noqa: F401
 
@@ -53,6 +53,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(directory, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clustered(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_quality_rules": op2_quality_rules,
@@ -64,4 +68,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_warc": op10_warc,
+    "op11_centroids": op11_centroids,
 }
