@@ -87,4 +87,18 @@ FROM f JOIN c{rounds} ON c = cluster
 """
 
 
-ORACLES: dict[str, str] = {"op2_quality_rules": op2(), "op6_decontamination": OP6, "op11_centroids": op11()}
+#: Every document's score for every item, from whole term counts.
+OP13 = r"""
+WITH lowered AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+d AS (SELECT r, doc_id, w, CAST(len(w) AS BIGINT) AS n FROM lowered WHERE len(w) > 0),
+totals AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS all_terms FROM d),
+tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) GROUP BY 1, 2),
+df AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM tf, totals GROUP BY term, docs),
+m AS (SELECT r, doc_id, 100 - 75 + ((75 * n * docs) // all_terms) AS m FROM d, totals),
+q AS (SELECT row_number() OVER () AS k, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+qt AS (SELECT k, item_id, term, count(*) AS times FROM q GROUP BY 1, 2, 3),
+scored AS (SELECT k, item_id, r, doc_id, CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score FROM qt JOIN tf USING (term) JOIN df USING (term) JOIN m USING (r) GROUP BY 1, 2, 3, 4)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY k ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0 QUALIFY rank <= 10
+"""
+
+ORACLES: dict[str, str] = {"op2_quality_rules": op2(), "op6_decontamination": OP6, "op11_centroids": op11(), "op13_ranked_search": OP13}
