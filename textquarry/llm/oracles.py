@@ -87,6 +87,18 @@ FROM f JOIN c{rounds} ON c = cluster
 """
 
 
+#: All windows of all documents; the first of each word sequence is its smallest (doc_id, start).
+OP12 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT r, doc_id, i, array_to_string(w[i : i + 19], ' ') AS g FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)),
+later AS (SELECT r, i FROM (SELECT r, i, rank() OVER (PARTITION BY g ORDER BY doc_id NULLS LAST, i) AS k FROM win) WHERE k > 1),
+gone AS (SELECT DISTINCT r, p FROM (SELECT r, unnest(range(i, i + 20)) AS p FROM later)),
+words AS (SELECT r, p, w[p] AS word FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS p FROM d)),
+kept AS (SELECT words.r, string_agg(word, ' ' ORDER BY words.p) AS t, count(*) AS n FROM words ANTI JOIN gone ON gone.r = words.r AND gone.p = words.p GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
+
 #: Every document's score for every item, from whole term counts.
 OP13 = r"""
 WITH lowered AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -101,4 +113,4 @@ scored AS (SELECT k, item_id, r, doc_id, CAST(sum(times * weight * ((1000000000
 SELECT item_id, CAST(row_number() OVER (PARTITION BY k ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0 QUALIFY rank <= 10
 """
 
-ORACLES: dict[str, str] = {"op2_quality_rules": op2(), "op6_decontamination": OP6, "op11_centroids": op11(), "op13_ranked_search": OP13}
+ORACLES: dict[str, str] = {"op2_quality_rules": op2(), "op6_decontamination": OP6, "op11_centroids": op11(), "op12_substring_dedup": OP12, "op13_ranked_search": OP13}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from textquarry.llm import byte_bpe, centroids, decontamination, near_duplicates, pii, quality_classifier, quality_rules, ranked_search, secrets, sharding, toxicity, warc
+from textquarry.llm import byte_bpe, centroids, decontamination, near_duplicates, pii, quality_classifier, quality_rules, ranked_search, secrets, sharding, substrings, toxicity, warc
 from textquarry.llm.common import table
 from textquarry.llm.oracles import ORACLES  # noqa: F401
 
@@ -57,6 +57,10 @@ def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.clustered(table(spark, sf_dir, "embeddings"))
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.deduplicated(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -73,5 +77,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_byte_bpe": op9_byte_bpe,
     "op10_warc": op10_warc,
     "op11_centroids": op11_centroids,
+    "op12_substring_dedup": op12_substring_dedup,
     "op13_ranked_search": op13_ranked_search,
 }
