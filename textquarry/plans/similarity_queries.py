@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from textquarry.functions import text as t
 from textquarry.operators import embedding, similarity
 from textquarry.operators.guard import blocks_of
+from textquarry.operators.set_join import similar_sets
 from textquarry.settings import DEFAULT
 from textquarry.sources import tables
 
@@ -187,14 +188,10 @@ def ngram_counts(spark, sf):
 
 def jaccard_benchmark(spark, sf):
     """Benchmark items against all documents, from a Jaccard similarity of 0.2 on."""
-    docs = tables.spread(tables.read(spark, sf, "documents"), "doc_id").select("doc_id", t.coded(t.ngrams(t.normalized(F.col("text")))).alias("dg"))
-    asked = tables.read(spark, sf, "benchmark").select("item_id", t.coded(t.ngrams(t.normalized(F.col("text")))).alias("ig"))
-    out = None
-    for part in blocks_of(asked):
-        pairs = docs.join(F.broadcast(part), t.jaccard_bound(F.size("dg"), F.size("ig")) >= 0.2).withColumn("both", t.overlap(F.col("ig"), F.col("dg")))
-        one = pairs.select("item_id", "doc_id", t.jaccard(F.col("ig"), F.col("dg"), F.col("both")).alias("jaccard")).filter("jaccard >= 0.2")
-        out = one if out is None else out.unionByName(one)
-    return out
+    grams = t.coded(t.ngrams(t.normalized(F.col("text"))))
+    docs = tables.spread(tables.read(spark, sf, "documents"), "doc_id").select(F.col("doc_id").alias("id"), F.lit(None).cast("long").alias("right_group"), grams.alias("members"))
+    asked = tables.read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.lit(None).cast("long").alias("left_group"), grams.alias("members"))
+    return similar_sets(asked, docs, 0.2).select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), "jaccard")
 
 
 def chemical_strip(spark, sf):
