@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from textquarry.functions import html as h
 from textquarry.functions import urls as u
 from textquarry.operators import crawl, jobs
+from textquarry.plans import similarity_queries, site_queries
 from textquarry.sources import http, tables
 from textquarry.streaming.ingest import ingest
 
@@ -161,3 +162,13 @@ def test_fetch_checks_every_hop():
     with pytest.raises(ValueError, match="large"):
         get(_Answer(200, {}, b"x" * (5 * 2**20 + 1)))
     assert not u.is_public_address("10.0.0.1") and u.is_public_address("8.8.8.8")
+
+
+def test_short_lines_are_judged_by_the_rule_alone(spark, tmp_path):
+    """A heading of five characters survives; a paragraph of five doesn't; both are lines of their page."""
+    text = "Intro\nShort\nA paragraph of enough characters\n\nEnds."
+    spark.createDataFrame([(1, text, "en", "s1", len(text))], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    kept = site_queries.block_length_filter(spark, str(tmp_path)).first()
+    assert (kept.doc_id, kept.n) == (1, 3)  # headings "Intro" and "Ends." need two characters, and the paragraph
+    assert similarity_queries.page_hash_lists(spark, str(tmp_path)).first().n_hashes == 5
+    assert [r.line for r in site_queries.block_keep_first(spark, str(tmp_path)).orderBy("line").collect()] == [0, 1, 2, 3, 4]

@@ -33,8 +33,9 @@ def upsert(stored: DataFrame, fetched: DataFrame, key: list[str], columns: list[
 def replace_blocks(stored: DataFrame, fresh: DataFrame, changed_pages: DataFrame) -> DataFrame:
     """Blocks of changed pages are replaced by fresh ones whose hash no other stored page and no earlier fresh block of the site has."""
     kept = stored.join(changed_pages.select("site_id", "page_id"), ["site_id", "page_id"], "left_anti")
-    first = F.row_number().over(Window.partitionBy("site_id", "content_hash").orderBy("page_id", "position"))
-    new = fresh.join(kept.select("site_id", "content_hash").distinct(), ["site_id", "content_hash"], "left_anti").withColumn("n", first).filter("n = 1").drop("n")
+    # the first is a minimum, so a line that all pages repeat never meets in one task
+    first = fresh.groupBy("site_id", "content_hash").agg(F.min(F.struct("page_id", "position")).alias("first"))
+    new = first.join(kept.select("site_id", "content_hash").distinct(), ["site_id", "content_hash"], "left_anti").select("site_id", "first.*", "content_hash")
     columns = ["site_id", "page_id", "position", "content_hash"]
     return kept.select(*columns).unionByName(new.select(*columns))
 

@@ -302,7 +302,7 @@ ORACLES = {
     "dedupe_site_blocks": f"SELECT site_id, content_hash, min(id) AS id FROM ({HASHED}) GROUP BY 1, 2",
     "dedupe_self_join": f"WITH h AS ({HASHED}) SELECT d.id, d.site_id, min(o.id) AS oldest FROM h d JOIN h o ON d.site_id = o.site_id AND d.content_hash = o.content_hash AND d.id > o.id GROUP BY 1, 2",
     "hash_multiplicity": f"SELECT site_id, content_hash, count(*) AS n FROM ({HASHED}) GROUP BY 1, 2",
-    "page_hash_lists": f"WITH l AS (SELECT doc_id, generate_subscripts(s, 1) AS line, unnest(s) AS content FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)) SELECT doc_id AS page_id, count(*) AS n_hashes, sha256(string_agg(sha256({n('content')}), ',' ORDER BY line)) AS hashes_sha256 FROM l WHERE length(content) >= 10 GROUP BY 1",
+    "page_hash_lists": f"WITH l AS (SELECT doc_id, generate_subscripts(s, 1) AS line, unnest(s) AS content FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)) SELECT doc_id AS page_id, count(*) AS n_hashes, sha256(string_agg(sha256({n('content')}), ',' ORDER BY line)) AS hashes_sha256 FROM l GROUP BY 1",
     "ngram_counts": f"SELECT doc_id, len({grams('n')}) AS n_grams FROM (SELECT doc_id, {n('text')} AS n FROM documents)",
     "jaccard_benchmark": f"""WITH d AS (SELECT doc_id, {grams('n')} AS g FROM (SELECT doc_id, {n('text')} AS n FROM documents)), i AS (SELECT item_id, {grams('n')} AS g FROM (SELECT item_id, {n('text')} AS n FROM benchmark)),
 k AS (SELECT item_id, doc_id, count(*) AS k FROM (SELECT item_id, unnest(g) AS g FROM i) JOIN (SELECT doc_id, unnest(g) AS g FROM d) USING (g) GROUP BY 1, 2)

@@ -21,7 +21,7 @@ SQL_SITES = "SELECT DISTINCT CAST(regexp_extract(source, '([0-9]+)$', 1) AS BIGI
 
 
 def pages(spark: SparkSession, sf: str) -> DataFrame:
-    return tables.read(spark, sf, "pages")
+    return tables.spread(tables.read(spark, sf, "pages"), "page_id")
 
 
 # ---------------------------------------------------------------- stored content
@@ -254,7 +254,8 @@ def page_upsert(spark, sf):
 def block_replace(spark, sf):
     """Every fourth page changed: its even lines have new text, its odd ones are as before."""
     rows = tables.lines(spark, sf).select("site_id", F.col("doc_id").alias("page_id"), F.col("line").alias("position"), "content")
-    stored = rows.withColumn("content_hash", t.hash_of(t.normalized(F.col("content"))))
+    # read twice below, as kept blocks and as their hashes: normalised once
+    stored = tables.saved(rows.withColumn("content_hash", t.hash_of(t.normalized(F.col("content")))).drop("content"))
     edited = F.when(F.col("position") % 2 == 0, F.concat("content", F.lit(" new"))).otherwise(F.col("content"))
     fresh = rows.filter("page_id % 4 = 0").withColumn("content_hash", t.hash_of(t.normalized(edited)))
     changed = rows.filter("page_id % 4 = 0").select("site_id", "page_id").distinct()
@@ -326,7 +327,7 @@ def _policy_sql() -> str:
 WHEN regexp_matches({target}, '(?i)lab work') THEN '{u.REASON_EXCLUDED}lab work' WHEN page_id % 3 = 0 AND NOT regexp_matches({target}, '(?i)^/(about|services)') THEN '{u.REASON_NOT_INCLUDED}' END"""
 
 
-LINES = "lines AS (SELECT doc_id, line - 1 AS line, doc_id * 100000 + line - 1 AS id, CAST(regexp_extract(source, '([0-9]+)$', 1) AS BIGINT) AS site_id, content FROM (SELECT doc_id, source, generate_subscripts(s, 1) AS line, unnest(s) AS content FROM (SELECT doc_id, source, string_split(text, chr(10)) AS s FROM documents)) WHERE length(content) >= 10)"
+LINES = "lines AS (SELECT doc_id, line - 1 AS line, doc_id * 10000000 + line - 1 AS id, CAST(regexp_extract(source, '([0-9]+)$', 1) AS BIGINT) AS site_id, content FROM (SELECT doc_id, source, generate_subscripts(s, 1) AS line, unnest(s) AS content FROM (SELECT doc_id, source, string_split(text, chr(10)) AS s FROM documents)))"
 _PRODUCT_URL = f"len({_SEGMENTS}) >= 2 AND len(list_filter({_SEGMENTS}[:-2], lambda s: {_in('s', u.PRODUCT_PATH_HINTS)})) > 0 AND regexp_matches({_SEGMENTS}[-1], '(^|[^0-9])[0-9]{{2,7}}-[0-9]{{2}}-[0-9]($|[^0-9])')"
 
 ORACLES = {
