@@ -2,9 +2,15 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
+from collections import Counter
+
+import numpy as np
 
 from tests.llm.conftest import sentence
+from textquarry.llm import decontamination
 from textquarry.llm.decontamination import blocks, decontaminate, gram_words, uncontaminated
+from textquarry.llm.words import Words
 
 ITEMS = "item_id long, text string"
 
@@ -66,3 +72,16 @@ def test_an_item_beyond_a_block_is_cut(spark):
 def test_empty(spark, odd, none):
     assert decontaminate(none, spark.createDataFrame([(1, "a b")], ITEMS), keep=["doc_id"]).count() == 0
     assert not any(r.contaminated for r in decontaminate(odd, spark.createDataFrame([], ITEMS), keep=["doc_id"]).collect())
+
+
+def test_repeated_words_cost_a_comparison_a_place(spark):
+    index = decontamination.ItemIndex([("a", "again " * 100_000), ("b", "again " * 50), ("c", "again again"), ("d", "other again again")])
+    raw = np.frombuffer(("again " * 100_000).encode(), np.uint8)
+    began = time.perf_counter()
+    hits = list(index.hits(Words(raw, np.array([0, len(raw)]))))
+    assert time.perf_counter() - began < 5
+    assert sorted(Counter(m for _, _, m in hits).items()) == [(2, 99_999), (10, 99_991)]
+    docs = spark.createDataFrame([(1, "again " * 3_000), (2, "again " * 9), (3, "once again"), (4, "x other again again y")], "doc_id long, text string")
+    items = spark.createDataFrame([("a", "again " * 2_000), ("b", "again " * 50), ("c", "again again"), ("d", "other again again")], "item_id string, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items) for r in decontamination.decontaminate(docs, items, keep=["doc_id"]).collect()}
+    assert got == {1: (3_000, 3), 2: (9, 1), 3: (0, 0), 4: (3, 2)}

@@ -3,8 +3,8 @@
 Training and test texts are reduced to k-gram fingerprints: in every window of `w` consecutive k-grams the
 smallest hash is kept (the rightmost of equals). Two texts that share any span of k + w - 1 words keep a common
 fingerprint inside it. With k + w - 1 equal to the window of the contract (10 words), every occurrence of an item's
-window in a document is found from a joined fingerprint and then extended: all item windows around the hit
-are compared, word by word, with the document.
+window in a document is found from a joined fingerprint and then extended: the document's windows around it that keep
+this fingerprint are compared, word by word, with the distinct windows of the items. Repeats cost one comparison a place.
 
 Items of fewer words than a window form one window of their own length m. They get the same guarantee with
 k = ceil(m / 2) and w = m - k + 1, one fingerprint class for each m from 1 to 9.
@@ -52,56 +52,58 @@ def winnowed(grams: np.ndarray, w: int) -> np.ndarray:
 
 
 class ItemIndex:
-    """Winnowed fingerprints of a block of items, by window length, with the windows around each for the extension."""
+    """The distinct windows of a block of items by window length, with the fingerprints that winnowing keeps of them.
+
+    A window keeps one fingerprint, wherever it stands, so a window of an item and an equal one of a document meet in it.
+    """
 
     def __init__(self, items: list[tuple[str, str]]):
-        by_length: dict[int, dict[int, list[tuple[int, int]]]] = {}
         self.ids: list[str] = [i for i, _ in items]
-        self.words: list[list[bytes]] = []
+        #: For each length the kept fingerprints, sorted, and the number of each window by its words.
+        self.by_length: dict[int, tuple[np.ndarray, dict[bytes, int]]] = {}
+        #: The items that hold a window, by its number.
+        self.holders: list[list[int]] = []
+        kept: dict[int, set[int]] = {}
         for number, (_, text) in enumerate(items):
             raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
             words = Words(raw, np.array([0, len(raw)]))
             n = len(words.hash)
-            self.words.append([words.slice_key(i, 1) for i in range(n)])
             if not n:
                 continue
             m = min(n, WINDOW)
             k, w = gram_words(m)
-            grams = words.grams(k)
-            for p in winnowed(grams, w):
-                by_length.setdefault(m, {}).setdefault(int(grams[p]), []).append((number, int(p)))
-        self.by_length = {m: (np.array(sorted(found), np.uint64), found) for m, found in by_length.items()}
+            kept.setdefault(m, set()).update(words.grams(k)[winnowed(words.grams(k), w)].tolist())
+            _, numbers = self.by_length.setdefault(m, (np.empty(0, np.uint64), {}))
+            for i in range(n - m + 1):
+                at = numbers.setdefault(words.slice_key(i, m), len(self.holders))
+                if at == len(self.holders):
+                    self.holders.append([])
+                if not self.holders[at] or self.holders[at][-1] != number:
+                    self.holders[at].append(number)
+        for m, (_, numbers) in self.by_length.items():
+            self.by_length[m] = np.array(sorted(kept[m]), np.uint64), numbers
 
     def hits(self, words: Words) -> Iterator[tuple[int, int, int]]:
-        """(item, first word, words) of every item window found in the texts of `words`."""
-        ends = np.repeat(words.at[1:], np.diff(words.at))
-        for m, (known, found) in self.by_length.items():
+        """(window number, first word, words) of every place in the texts of `words` where an item's window stands, once each."""
+        for m, (known, numbers) in self.by_length.items():
             k, w = gram_words(m)
             grams = words.grams(k)
-            if not len(grams):
-                continue
             # A gram across two texts must not push a text's own gram out of its window, so windows are cut at text ends.
-            kept = winnowed_within(grams, w, words.at, k)
-            mine = grams[kept]
-            kept = kept[known[np.minimum(np.searchsorted(known, mine), len(known) - 1)] == mine]
-            for p in kept.tolist():
-                end, begin = int(ends[p]), int(words.at[np.searchsorted(words.at, p, "right") - 1])
-                around: list[bytes] = []
-                low = max(begin, p - (w - 1))
-                around = [words.slice_key(i, 1) for i in range(low, min(end, p + k + w - 1))]
-                for item, q in found[int(grams[p])]:
-                    own = self.words[item]
-                    for back in range(w):
-                        at, s = p - back, q - back
-                        if at >= low and s >= 0 and at + m <= end and s + m <= len(own) and around[at - low : at - low + m] == own[s : s + m]:
-                            yield item, at, m
-
-
-def winnowed_within(grams: np.ndarray, w: int, at: np.ndarray, k: int) -> np.ndarray:
-    """winnowed(), for many texts at once: windows that reach over a text's end don't count."""
+            start, place = chosen_within(grams, w, words.at, k)
+            mine = grams[place]
+            # the windows around a fingerprint that an item has, too: compared word by word
+            for at in start[known[np.minimum(np.searchsorted(known, mine), len(known) - 1)] == mine].tolist():
+                number = numbers.get(words.slice_key(at, m))
+                if number is not None:
+                    yield number, at, m
+
+
+def chosen_within(grams: np.ndarray, w: int, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """First grams of all windows of w grams, for many texts at once, and the place of the one that each keeps, the rightmost smallest;
+    windows that reach over a text's end don't count."""
     n = len(grams) - w + 1
     if n <= 0:
-        return np.empty(0, np.int64)
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     least, where = grams[:n].copy(), np.arange(n, dtype=np.int32)
     place = np.arange(n, dtype=np.int32)
     for j in range(1, w):
@@ -114,7 +116,8 @@ def winnowed_within(grams: np.ndarray, w: int, at: np.ndarray, k: int) -> np.nda
     begin = at[:-1][length > 0]
     np.add.at(whole, np.minimum(begin, n), 1)
     np.add.at(whole, np.minimum(begin + length[length > 0], n), -1)
-    return np.unique(where[np.cumsum(whole[:-1]) > 0])
+    start = np.flatnonzero(np.cumsum(whole[:-1]) > 0)
+    return start, where[start]
 
 
 def _covered(spans: list[int]) -> int:
@@ -138,10 +141,13 @@ def _scan(index_of, keep: list[str], last: bool):
                 words = Words(*text_buffers(column["txt"]))
                 spans = [set(x) for x in column["spans"].to_pylist()]
                 items = [set(x) for x in column["items"].to_pylist()]
-                for item, at, m in index.hits(words):
+                held: dict[int, set[int]] = {}
+                for number, at, m in index.hits(words):
                     doc = int(np.searchsorted(words.at, at, "right")) - 1
                     spans[doc].add(at - int(words.at[doc]) << 8 | m)
-                    items[doc].add(index.ids[item])
+                    held.setdefault(doc, set()).add(number)
+                for doc, numbers in held.items():
+                    items[doc].update(index.ids[i] for number in numbers for i in index.holders[number])
                 out = {c: column[c] for c in keep}
                 if last:
                     hit = [_covered(sorted(x)) for x in spans]

@@ -35,6 +35,7 @@ class Words:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         self.data = data
+        self.lowered: bytes | None = None
         size = len(data)
         is_word = IS_WORD[data]
         before = np.empty(size + 1, bool)
@@ -74,7 +75,10 @@ class Words:
 
     def slice_key(self, i: int, k: int) -> bytes:
         """The k words from word i on, lower-cased and joined by blanks."""
-        return b" ".join(LOWER[self.data[self.start[j] : self.end[j]]].tobytes() for j in range(i, i + k))
+        if self.lowered is None:
+            self.lowered = LOWER[self.data].tobytes()
+        raw = self.lowered
+        return b" ".join([raw[a:b] for a, b in zip(self.start[i : i + k].tolist(), self.end[i : i + k].tolist(), strict=True)])
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
