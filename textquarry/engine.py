@@ -1,13 +1,14 @@
 """The engine's operations over a folder of table snapshots: sites, crawls, jobs, stored content, checks, audits.
 
-Each table is a series of versions; a change reads the latest and writes the next, so no reader sees a half-written one
-and none is overwritten. Crawls take fetched pages as a DataFrame (url, html, http_status, content_type): a stored crawl,
+Tables are series of versions (sources.workspace); pages, blocks, their 3-gram postings and the counts of their hashes lie
+site by site, so a crawl reads and writes its own site only. Blocks keep their vectors; a check embeds its text alone. Crawls take fetched pages as a DataFrame (url, html, http_status, content_type): a stored crawl,
 or the live source in sources.http.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections.abc import Callable
 from datetime import UTC, datetime
@@ -20,15 +21,21 @@ from textquarry import schema
 from textquarry.functions import html as h
 from textquarry.functions import text as t
 from textquarry.functions import urls as u
-from textquarry.operators import crawl, jobs, similarity
+from textquarry.operators import crawl, embedding, jobs, postings, similarity
+from textquarry.operators.vector_index import VectorIndex
+from textquarry.running import Running
 from textquarry.session import steady
 from textquarry.settings import DEFAULT, Settings
 from textquarry.sources import tables
 from textquarry.sources.http import HttpPages
 from textquarry.sources.sinks import check_rows
+from textquarry.sources.workspace import Workspace
 
-BLOCKS = T.StructType([f for f in schema.CONTENT_BLOCKS.fields if f.name != "embedding"])
-TABLES = {"sites": schema.SITES, "pages": schema.PAGES, "content_blocks": BLOCKS, "similarity_checks": schema.SIMILARITY_CHECKS, "background_jobs": schema.BACKGROUND_JOBS, "crawl_runs": schema.CRAWL_RUNS}
+TABLES = {"sites": schema.SITES, "pages": schema.PAGES, "content_blocks": schema.CONTENT_BLOCKS, "postings": schema.POSTINGS, "hash_counts": schema.HASH_COUNTS, "similarity_checks": schema.SIMILARITY_CHECKS, "background_jobs": schema.BACKGROUND_JOBS, "crawl_runs": schema.CRAWL_RUNS}
+#: Tables that a site's crawl rewrites for that site alone.
+BY_SITE = {"pages", "content_blocks", "postings", "hash_counts"}
+#: Candidate blocks of a keyword that are named to the scan; more are joined.
+MOST_PUSHED = 5_000
 MOST_ERRORS, MOST_LISTED = 30, 500
 
 
@@ -85,40 +92,30 @@ def validated(fields: dict) -> dict:
 class Engine:
     def __init__(self, spark: SparkSession, root: str, cfg: Settings = DEFAULT):
         self.spark, self.root, self.cfg = steady(spark), root.rstrip("/"), cfg
+        self.store = Workspace(self.spark, self.root, TABLES, BY_SITE)
+        self.running = Running(self.spark)
 
-    # ------------------------------------------------------------ snapshots
-    def _versions(self, name: str) -> list[int]:
-        jvm = self.spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        files = where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not files.exists(where):
-            return []
-        names = [s.getPath() for s in files.listStatus(where)]
-        return sorted(int(p.getName().split("=")[1]) for p in names if files.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
-
-    def table(self, name: str) -> DataFrame:
-        found = self._versions(name)
-        if not found:
-            return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{name}/version={found[-1]}")
-
-    def _write(self, name: str, df: DataFrame) -> None:
-        version = (self._versions(name) or [0])[-1] + 1
-        columns = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in TABLES[name].fields]
-        df.select(*columns).write.parquet(f"{self.root}/{name}/version={version}")
+    # ------------------------------------------------------------ tables
+    def table(self, name: str, site_id: int | None = None) -> DataFrame:
+        return self.store.read(name, site_id)
 
     def _add(self, name: str, rows: list[dict]) -> list[int]:
         """Appends rows with new ids."""
-        old = self.table(name)
-        first = (old.agg(F.max("id")).first()[0] or 0) + 1
-        full = [tuple({**r, "id": first + i}.get(f.name) for f in TABLES[name].fields) for i, r in enumerate(rows)]
-        self._write(name, old.unionByName(self.spark.createDataFrame(full, TABLES[name])))
+        with self.store.lock:
+            old = self.table(name)
+            first = self._last_id(name) + 1
+            full = [tuple({**r, "id": first + i}.get(f.name) for f in TABLES[name].fields) for i, r in enumerate(rows)]
+            self.store.write(name, old.unionByName(self.spark.createDataFrame(full, TABLES[name])))
         return list(range(first, first + len(rows)))
 
+    def _last_id(self, name: str) -> int:
+        return self.table(name).agg(F.max("id")).first()[0] or 0
+
     def _change(self, name: str, key: int, **values: object) -> None:
-        df = self.table(name)
         fields = {f.name: f.dataType for f in TABLES[name].fields}
-        self._write(name, df.withColumns({c: F.when(F.col("id") == key, F.lit(v).cast(fields[c])).otherwise(F.col(c)) for c, v in values.items()}))
+        with self.store.lock:
+            df = self.table(name)
+            self.store.write(name, df.withColumns({c: F.when(F.col("id") == key, F.lit(v).cast(fields[c])).otherwise(F.col(c)) for c, v in values.items()}))
 
     def _site(self, site_id: int) -> Row:
         found = self.table("sites").filter(F.col("id") == site_id).first()
@@ -156,15 +153,17 @@ class Engine:
         base = self.table("sites")
         rest = [c for c in base.columns if c != "id" and c not in clean]
         changed = crawl.patched(base.select("id", *clean), update, "id", list(clean)).join(base.select("id", *rest), "id")
-        self._write("sites", changed.withColumn("updated_at", F.when(F.col("id") == site_id, F.current_timestamp()).otherwise(F.col("updated_at"))))
+        self.store.write("sites", changed.withColumn("updated_at", F.when(F.col("id") == site_id, F.current_timestamp()).otherwise(F.col("updated_at"))))
 
     def delete_site(self, site_id: int) -> None:
         """With its pages, blocks, jobs and runs; checks stay."""
         self._site(site_id)
         gone = self.spark.createDataFrame([(site_id,)], "site_id long")
-        self._write("sites", self.table("sites").filter(F.col("id") != site_id))
-        for name in ("pages", "content_blocks", "background_jobs", "crawl_runs"):
-            self._write(name, crawl.without_site(self.table(name), gone))
+        self.store.write("sites", self.table("sites").filter(F.col("id") != site_id))
+        for name in sorted(BY_SITE):
+            self.store.write(name, self.table(name, site_id).limit(0), site_id)
+        for name in ("background_jobs", "crawl_runs"):
+            self.store.write(name, crawl.without_site(self.table(name), gone))
 
     # ------------------------------------------------------------ jobs
     def create_job(self, site_id: int, kind: str) -> tuple[int, bool]:
@@ -175,25 +174,60 @@ class Engine:
         return self._add("background_jobs", [{"site_id": site_id, "job_type": kind, "status": "queued", "progress": 0, "created_at": datetime.now(UTC)}])[0], True
 
     def job(self, job_id: int) -> Row | None:
-        return self.table("background_jobs").filter(F.col("id") == job_id).first()
-
-    def run_job(self, site_id: int, kind: str, work) -> tuple[int, object]:
-        """Runs `work` under a job: running, then completed, or error with at most 1000 characters of why."""
-        job_id, _ = self.create_job(site_id, kind)
-        self._change("background_jobs", job_id, status="running", progress=5)
-        try:
-            result = work()
-        except Exception as fault:
-            self._change("background_jobs", job_id, status="error", error=str(fault)[:1000], finished_at=datetime.now(UTC))
-            raise
-        self._change("background_jobs", job_id, status="completed", progress=100, finished_at=datetime.now(UTC))
-        return job_id, result
+        """The job's row; while it runs here, with the share of its Spark tasks that are done."""
+        row = self.table("background_jobs").filter(F.col("id") == job_id).first()
+        if row is None or row.status != "running":
+            return row
+        return Row(**{**row.asDict(), "progress": max(row.progress or 0, self.running.progress(job_id))})
+
+    def run_job(self, site_id: int, kind: str, work: Callable[[], object]) -> tuple[int, object]:
+        """Runs `work` under a job and waits: running, then completed, or error with at most 1000 characters of why."""
+        job_id, _ = self.submit(site_id, kind, work)
+        return job_id, self.running.result(job_id)
+
+    def submit(self, site_id: int, kind: str, work: Callable[[], object]) -> tuple[int, bool]:
+        """Starts `work` in the background under a new job, unless an active one of the kind exists: its id, and whether it is new."""
+        with self.store.lock:
+            job_id, new = self.create_job(site_id, kind)
+            if not new:
+                return job_id, False
+            self._change("background_jobs", job_id, status="running", progress=5, started_at=datetime.now(UTC))
+
+        def run() -> object:
+            try:
+                result = work()
+            except Exception as fault:
+                why = "cancelled" if self.running.cancelled(job_id) else str(fault)[:1000]
+                self._change("background_jobs", job_id, status="error", error=why, finished_at=datetime.now(UTC))
+                raise
+            kept = json.dumps(result, default=str) if isinstance(result, (dict, list, str, int, float)) else None
+            self._change("background_jobs", job_id, status="completed", progress=100, result=kept, finished_at=datetime.now(UTC))
+            return result
+
+        self.running.start(job_id, run)
+        return job_id, True
+
+    def cancel(self, job_id: int) -> None:
+        """Stops a job that runs here; its row ends as an error, "cancelled"."""
+        self.running.cancel(job_id)
+
+    def crawl_job(self, site_id: int, fetched: DataFrame, links: DataFrame | None = None) -> tuple[int, bool]:
+        return self.submit(site_id, "crawl", lambda: self.crawl(site_id, fetched, links))
+
+    def preview_job(self, site_id: int, fetched: DataFrame, links: DataFrame | None = None) -> tuple[int, bool]:
+        return self.submit(site_id, "preview", lambda: self.preview_report(site_id, fetched, links))
+
+    def audit_job(self, site_id: int) -> tuple[int, bool]:
+        return self.submit(site_id, "audit", lambda: self.audit(site_id)[0])
+
+    def reindex_job(self, site_id: int) -> tuple[int, bool]:
+        return self.submit(site_id, "reindex", lambda: self.reindex(site_id))
 
     def recover(self) -> None:
         """After a restart nothing is running any more."""
-        self._write("background_jobs", jobs.recovered(self.table("background_jobs")))
+        self.store.write("background_jobs", jobs.recovered(self.table("background_jobs")))
         runs = self.table("crawl_runs")
-        self._write("crawl_runs", runs.withColumn("status", F.when(F.col("status") == "running", "error").otherwise(F.col("status"))))
+        self.store.write("crawl_runs", runs.withColumn("status", F.when(F.col("status") == "running", "error").otherwise(F.col("status"))))
 
     def crawl_runs(self, site_id: int, limit: int = 10) -> DataFrame:
         return self.table("crawl_runs").filter(F.col("site_id") == site_id).orderBy(F.desc("id")).limit(max(1, min(limit, 50)))
@@ -205,8 +239,15 @@ class Engine:
         empty = F.array().cast("array<string>")
         include = F.array(*map(F.lit, site.include_patterns)) if site.include_patterns else empty
         exclude = F.array(*map(F.lit, site.exclude_patterns)) if site.exclude_patterns else empty
-        rows = fetched.select("url", F.coalesce("html", F.lit("")).alias("html"), "http_status", F.coalesce("content_type", F.lit("")).alias("content_type")).dropDuplicates(["url"])
-        rows = rows.withColumn("fault", F.coalesce(u.url_fault(F.col("url"), F.lit(site.domain)), F.when(~h.is_html(F.col("html"), F.col("content_type")), "not HTML")))
+        # a walk tells when a page was visited and why it failed; without, the homepage comes first, then by link priority
+        visited = F.col("rank").cast("long") if "rank" in fetched.columns else F.lit(None).cast("long")
+        failed = F.col("error") if "error" in fetched.columns else F.lit(None).cast("string")
+        each = fetched.select("url", F.coalesce("html", F.lit("")).alias("html"), "http_status", F.coalesce("content_type", F.lit("")).alias("content_type"), visited.alias("visited"), failed.alias("failed"))
+        order = [F.regexp_replace(u.path(F.col("url")), "/+$", "") != "", u.priority(F.col("url"))]
+        first = F.struct(F.col("visited").isNull(), "visited", F.col("failed").isNotNull(), F.sha2("html", 256), "http_status", "content_type")
+        # of several requests that end at one page the first visited counts
+        rows = each.groupBy("url").agg(F.min_by(F.struct("html", "http_status", "content_type", "visited", "failed"), first).alias("r")).select("url", "r.*").withColumn("order", F.struct(F.col("visited").isNull(), "visited", *order, "url"))
+        rows = rows.withColumn("fault", F.coalesce("failed", u.url_fault(F.col("url"), F.lit(site.domain)), F.when(~h.is_html(F.col("html"), F.col("content_type")), "not HTML")))
         rows = rows.withColumn("p", h.extract_page(F.col("html")))
         text = F.concat_ws(" ", "p.title", "p.meta_description", F.transform("p.blocks", lambda b: b["text"]))
         reason = F.coalesce(u.policy_reason(F.col("url"), include, exclude, F.lit(home)), F.when(u.is_product_page(F.col("url"), text), u.REASON_PAGE))
@@ -226,7 +267,7 @@ class Engine:
         include, exclude, allowed = (F.array(*map(F.lit, x)) if x else F.array().cast("array<string>") for x in (site.include_patterns, site.exclude_patterns, site.allowed_query_params))
         reason = lambda url: u.policy_reason(url, include, exclude, F.lit(home))
         pages, links = crawl.live_walk(home, site.domain, fetch or live, site.crawler_max_pages or self.cfg.crawler_max_pages, reason, tables.saved, allowed)
-        return pages.orderBy("rank").dropDuplicates(["url"]), links
+        return pages, links
 
     def skipped(self, links: DataFrame) -> list[Row]:
         """The first MOST_LISTED links that weren't followed, with the reason."""
@@ -238,80 +279,132 @@ class Engine:
         action = F.when(F.col("error").isNotNull(), "error").when(F.col("reason").isNotNull(), "skip").otherwise("crawl")
         return rows.select("url", action.alias("action"), "reason", "error", F.col("p.title").alias("title"), F.size("p.blocks").alias("blocks"))
 
-    def crawl(self, site_id: int, fetched: DataFrame) -> dict:
-        """Stores the fetched pages of a site: unchanged ones are kept, changed ones replaced, stale ones pruned unless guarded."""
+    def preview_report(self, site_id: int, fetched: DataFrame, links: DataFrame | None = None) -> dict:
+        """What a crawl would do, as lists of a bounded length; nothing is written."""
+        site = self._site(site_id)
+        rows = tables.saved(self._classified(site, fetched).select("url", "error", "reason", "order"))
+        good = rows.filter("error is null and reason is null")
+        skipped = self._skips(rows, links)
+        errors = rows.filter("error is not null").orderBy("order").limit(MOST_ERRORS).collect()
+        return {
+            "site_id": site_id,
+            "pages_discovered": self._discovered(site, rows, links),
+            "pages_to_crawl": good.count(),
+            "urls_to_crawl": [r.url for r in good.orderBy("order").limit(MOST_LISTED).collect()],
+            "skipped": [{"url": r.url, "reason": r.reason} for r in skipped.orderBy("url").limit(MOST_LISTED).collect()],
+            "errors": [f"{r.url}: {r.error[:180]}" for r in errors],
+        }
+
+    def _skips(self, rows: DataFrame, links: DataFrame | None) -> DataFrame:
+        """(url, reason) of pages and links that policy leaves out, each URL once."""
+        out = rows.filter("error is null and reason is not null").select("url", "reason")
+        if links is not None:
+            out = out.unionByName(links.filter("reason is not null").select("url", "reason"))
+        return out.groupBy("url").agg(F.min("reason").alias("reason"))
+
+    def _discovered(self, site: Row, rows: DataFrame, links: DataFrame | None) -> int:
+        """The homepage and all links found, followed or not; without links, the pages."""
+        found = rows.select("url") if links is None else links.select("url").unionByName(self.spark.createDataFrame([(f"https://{site.domain}/",)], "url string"))
+        return found.distinct().count()
+
+    def _embedded(self, blocks: DataFrame) -> DataFrame:
+        """Blocks with the vector of their text by the current settings, and its signature."""
+        core = t.chemical_core(F.col("original_content"))
+        text = t.embedded_text(F.col("normalized_content"), core)
+        return blocks.withColumns({"embedding": embedding.vector(text, self.cfg.dimension), "embedding_version": F.lit(self.cfg.signature)})
+
+    def crawl(self, site_id: int, fetched: DataFrame, links: DataFrame | None = None) -> dict:
+        """Stores the fetched pages of a site: unchanged ones are kept, changed ones replaced, stale ones pruned unless guarded.
+
+        `fetched` may carry `rank` (the order of visits, which decides who owns a repeated block and what the page budget cuts) and
+        `error`, `links` what the walk found, followed or not. Only the site's own tables are read and written.
+        """
         site = self._site(site_id)
         if site.status == "paused":
             raise Invalid("the site is paused")
         limit = site.crawler_max_pages or self.cfg.crawler_max_pages
-        rows = self._classified(site, fetched)
-        path = f"{self.root}/staging/{site_id}-{len(self._versions('crawl_runs'))}"
-        rows.write.mode("overwrite").parquet(path)
-        rows = self.spark.read.schema(rows.schema).parquet(path)
-        # a crawl starts at the homepage, so it owns what other pages repeat
-        order = [F.regexp_replace(u.path(F.col("url")), "/+$", "") != "", u.priority(F.col("url"))]
-        rank = F.row_number().over(Window.orderBy(*order))
-        good = rows.filter("error is null and reason is null").withColumn("rank", rank).filter(F.col("rank") <= limit)
-        stored = self.table("pages")
-        own = stored.filter(F.col("site_id") == site_id)
-        pages = good.select(F.lit(site_id).cast("long").alias("site_id"), "url", F.col("p.title").alias("title"), F.col("p.meta_description").alias("meta_description"), "http_status", F.sha2("html", 256).alias("content_hash"), F.current_timestamp().alias("crawled_at"))
-        ids = own.select("url", "id", F.col("content_hash").alias("old"))
-        first = stored.agg(F.max("id")).first()[0] or 0
-        pages = pages.join(ids, "url", "left")
-        fresh_id = F.lit(first) + F.row_number().over(Window.orderBy(F.col("id").isNotNull(), "url"))
-        pages = pages.withColumn("id", F.coalesce("id", fresh_id)).withColumn("changed", ~F.col("old").eqNullSafe(F.col("content_hash")))
-        errors = [f"{r.url}: {r.error}"[:180] for r in rows.filter("error is not null").orderBy("url").limit(MOST_ERRORS).collect()]
+        rows = tables.saved(self._classified(site, fetched))
+        # within the budget, so a window over them is one of a bounded number of pages
+        within = rows.filter("error is null and reason is null").orderBy("order").limit(limit)
+        good = tables.saved(within.withColumn("place", F.row_number().over(Window.orderBy("order"))))
+        own, blocks = self.table("pages", site_id), self.table("content_blocks", site_id)
+        pages = good.select(F.lit(site_id).cast("long").alias("site_id"), "url", F.col("p.title").alias("title"), F.col("p.meta_description").alias("meta_description"), "http_status", F.sha2("html", 256).alias("content_hash"), F.current_timestamp().alias("crawled_at"), "place")
+        pages = pages.join(own.select("url", "id", F.col("content_hash").alias("old")), "url", "left")
+        fresh_id = F.lit(self._last_id("pages")) + F.row_number().over(Window.orderBy(F.col("id").isNotNull(), "url"))
+        pages = tables.saved(pages.withColumn("id", F.coalesce("id", fresh_id)).withColumn("changed", ~F.col("old").eqNullSafe(F.col("content_hash"))))
+        errors = [f"{r.url}: {r.error[:180]}"[:300] for r in rows.filter("error is not null").orderBy("order").limit(MOST_ERRORS).collect()]
         retained = pages.select("site_id", "url")
-        counts = {"pages_discovered": rows.count(), "pages_crawled": pages.count(), "pages_skipped": rows.filter("error is null and reason is not null").count()}
+        counts = {"pages_discovered": self._discovered(site, rows, links), "pages_crawled": pages.count(), "pages_skipped": self._skips(rows, links).count()}
         previous, gone = own.count(), crawl.stale(own, retained).count()
         reached = counts["pages_crawled"] / previous if previous else 1.0
         blocked = bool(gone and (errors or reached < site.min_crawl_coverage))
         prune = counts["pages_crawled"] > 0 and not blocked
 
-        blocks = self.table("content_blocks")
-        lost = crawl.stale(own, retained).select("site_id", F.col("id").alias("page_id")) if prune else own.limit(0).select("site_id", F.col("id").alias("page_id"))
-        changed = pages.filter("changed").select("site_id", F.col("id").alias("page_id"), "url", "title")
-        fresh = changed.join(good.select("url", F.posexplode("p.blocks").alias("position", "b")), "url").select("site_id", "page_id", "url", F.col("title").alias("page_title"), "position", "b.content_type", F.col("b.text").alias("original_content"))
-        fresh = fresh.withColumn("normalized_content", t.normalized(F.col("original_content"))).withColumn("content_hash", t.hash_of(F.col("normalized_content")))
-        kept = blocks.join(changed.select("site_id", "page_id").unionByName(lost), ["site_id", "page_id"], "left_anti")
-        # a hash counts for the page that has it already, else for the first crawled page
-        one = F.row_number().over(Window.partitionBy("content_hash").orderBy(*order, "position"))
-        fresh = fresh.join(kept.select("site_id", "content_hash").distinct(), ["site_id", "content_hash"], "left_anti").withColumn("n", one).filter("n = 1")
-        last = blocks.agg(F.max("id")).first()[0] or 0
-        fresh = fresh.withColumns({"id": F.lit(last) + F.row_number().over(Window.orderBy("page_id", "position")), "embedding_version": F.lit(self.cfg.signature), "collected_at": F.current_timestamp()})
-        self._write("content_blocks", kept.unionByName(fresh.drop("position", "n"), allowMissingColumns=True))
-        after = self.table("content_blocks").filter(F.col("site_id") == site_id).count()
+        lost = crawl.stale(own, retained) if prune else own.limit(0)
+        changed = pages.filter("changed").select("site_id", F.col("id").alias("page_id"), "url", "title", "place")
+        replaced = changed.select("page_id").unionByName(lost.select(F.col("id").alias("page_id")))
+        kept = blocks.join(replaced, "page_id", "left_anti")
+        away = blocks.join(replaced, "page_id", "left_semi")
+        each = changed.join(good.select("url", F.posexplode("p.blocks").alias("position", "b")), "url").select("site_id", "page_id", "url", F.col("title").alias("page_title"), "place", "position", "b.content_type", F.col("b.text").alias("original_content"))
+        each = each.withColumn("normalized_content", t.normalized(F.col("original_content"))).withColumn("content_hash", t.hash_of(F.col("normalized_content")))
+        # a hash counts for a page that keeps it, by the stored counts without those of pages that go, else for the first visited page
+        counted = crawl.counted(self.table("hash_counts", site_id), away, None)
+        order = F.struct("place", "position")
+        firsts = each.groupBy("content_hash").agg(F.min_by(F.struct(*each.columns), order).alias("r")).select("r.*")
+        fresh = tables.saved(firsts.join(counted.select("content_hash"), "content_hash", "left_anti"))
+        # ids: pages one after the other, blocks within their page
+        sizes = fresh.groupBy("page_id").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("page_id")) - F.col("n"))
+        within_page = F.row_number().over(Window.partitionBy("page_id").orderBy("position"))
+        fresh = fresh.join(sizes.select("page_id", "before"), "page_id").withColumns({"id": F.lit(self._last_id("content_blocks")) + F.col("before") + within_page, "collected_at": F.current_timestamp()})
+        fresh = tables.saved(self._embedded(fresh.drop("place", "position", "before")))
+        self.store.write("content_blocks", kept.unionByName(fresh, allowMissingColumns=True), site_id)
+        self.store.write("postings", self.table("postings", site_id).join(away.select("id"), "id", "left_anti").unionByName(postings.postings(fresh)).repartition(F.col("gram")).sortWithinPartitions("gram", "id"), site_id)
+        self.store.write("hash_counts", crawl.counted(self.table("hash_counts", site_id), away, fresh), site_id)
+        after = self.table("content_blocks", site_id).count()
 
         columns = [f.name for f in TABLES["pages"].fields]
-        others = stored.join(pages.select("site_id", "url"), ["site_id", "url"], "left_anti")
+        others = own.join(pages.select("url"), "url", "left_anti")
         if prune:
-            others = others.join(crawl.stale(own, retained).select("id"), "id", "left_anti")
-        self._write("pages", others.select(*columns).unionByName(pages.select(*columns)))
+            others = others.join(lost.select("id"), "id", "left_anti")
+        self.store.write("pages", others.select(*columns).unionByName(pages.select(*columns)), site_id)
         now = datetime.now(UTC)
         status = "completed_with_warnings" if errors or blocked else "completed"
         self._add("crawl_runs", [{"site_id": site_id, "status": status, **counts, "previous_pages": previous, "retained_pages": counts["pages_crawled"], "stale_pages": gone, "prune_blocked": blocked, "errors": errors, "started_at": now, "finished_at": now}])
         self._change("sites", site_id, status="active" if counts["pages_crawled"] or counts["pages_skipped"] else "error", last_crawled_at=now)
         return {"site_id": site_id, **counts, "blocks": after, "errors": errors, "previous_pages": previous, "retained_pages": counts["pages_crawled"], "stale_pages": gone, "prune_blocked": blocked, "coverage": round(reached, 4)}
 
-    def reindex(self, site_id: int) -> dict:
-        """Blocks of a site get the current signature; vectors are functions of the text and are made when used."""
-        df = self.table("content_blocks")
-        mine = F.col("site_id") == site_id
-        n = df.filter(mine).count()
-        if not n:
+    def reindex(self, site_id: int, outdated_only: bool = False) -> dict:
+        """Makes the vectors of a site's blocks anew, all of them or those of another signature or without a vector."""
+        df = self.table("content_blocks", site_id)
+        old = F.col("embedding").isNull() | ~F.col("embedding_version").eqNullSafe(F.lit(self.cfg.signature)) if outdated_only else F.lit(True)
+        n = df.filter(old).count()
+        if df.isEmpty():
             raise Invalid("the site has no blocks")
-        self._write("content_blocks", df.withColumn("embedding_version", F.when(mine, self.cfg.signature).otherwise(F.col("embedding_version"))))
+        if n:
+            self.store.write("content_blocks", df.filter(~old).unionByName(self._embedded(df.filter(old))), site_id)
         return {"site_id": site_id, "reindexed_blocks": n, "embedding_version": self.cfg.signature}
 
+    def build_index(self) -> VectorIndex:
+        """Inverted lists over the stored vectors of the baseline, for checks that read a part of them."""
+        fresh = self._baseline().filter(F.col("embedding_version") == self.cfg.signature)
+        return VectorIndex.build(fresh, f"{self.root}/vector_index")
+
+    def index(self) -> VectorIndex:
+        return VectorIndex.opened(self.spark, f"{self.root}/vector_index")
+
     # ------------------------------------------------------------ stored content, checks, audits
     def content(self, keyword: str = "", site_id: int | None = None, page: int = 1, size: int = 20) -> tuple[int, int, DataFrame]:
         """Total, pages and one page of blocks, newest first; % and _ in the keyword are wildcards."""
-        rows = self.table("content_blocks").join(self.table("sites").select(F.col("id").alias("site_id"), F.col("name").alias("site_name")), "site_id")
-        if site_id is not None:
-            rows = rows.filter(F.col("site_id") == site_id)
+        rows = self.table("content_blocks", site_id)
         if keyword.strip():
             like = f"%{keyword.strip()}%"
+            near = postings.candidates(self.table("postings", site_id), like)
+            if near is not None:
+                # by the postings few blocks can match: a few are named, so the scan skips what holds none of them
+                few = [r.id for r in near.select("id").limit(MOST_PUSHED + 1).collect()]
+                rows = rows.filter(F.col("id").isin(few)) if len(few) <= MOST_PUSHED else rows.join(near.select("id"), "id", "left_semi")
             rows = rows.filter(F.col("original_content").ilike(like) | F.coalesce(F.col("page_title").ilike(like), F.lit(False)))
+        rows = rows.join(self.table("sites").select(F.col("id").alias("site_id"), F.col("name").alias("site_name")), "site_id")
         total = rows.count()
         return total, -(-total // size), rows.orderBy(F.desc("collected_at"), F.desc("id")).offset((page - 1) * size).limit(size)
 
@@ -322,14 +415,14 @@ class Engine:
         sites = self.table("sites").filter("site_type = 'baseline'").select(F.col("id").alias("site_id"), F.col("name").alias("site_name"))
         return self.table("content_blocks").join(sites, "site_id")
 
-    def check(self, content: str, limit: int = 10, persist: bool = True) -> list[Row]:
-        """The most similar baseline blocks of a pasted text, with highlights."""
+    def check(self, content: str, limit: int = 10, persist: bool = True, index: VectorIndex | None = None) -> list[Row]:
+        """The most similar baseline blocks of a pasted text, with highlights; nearest vectors by `index`, or among all blocks."""
         content = content.strip()
         if not 3 <= len(content) <= 20_000 or not 1 <= limit <= 10:
             raise Invalid("content of 3 to 20000 characters, limit of 1 to 10")
         q = self.spark.createDataFrame([(0, None, content)], "query_id long, site_id long, original_content string")
         base = self._baseline()
-        found = similarity.check(q, base, limit, self.cfg)
+        found = tables.saved(similarity.check(q, base, limit, self.cfg, index))
         shown = found.join(base.select("id", "site_id", "site_name", "page_title", "url", "content_type", "original_content"), "id").withColumn("highlight_segments", t.highlight(F.lit(content), F.col("original_content"))).orderBy("rank").collect()
         if persist:
             row = check_rows(q, found).first()
@@ -341,12 +434,9 @@ class Engine:
     def audit(self, site_id: int) -> tuple[dict, DataFrame]:
         """Summary and findings of a candidate site's blocks against the baseline."""
         site = self._site(site_id)
-        own = self.table("content_blocks").filter(F.col("site_id") == site_id)
+        own = self.table("content_blocks", site_id)
         if site.site_type != "candidate" or own.isEmpty():
             raise Invalid("a candidate site with blocks is needed")
         q = own.select(F.col("id").alias("query_id"), "site_id", "original_content")
-        matches = similarity.check(q, self._baseline(), self.cfg.audit_limit, self.cfg)
-        path = f"{self.root}/staging/audit-{site_id}"
-        matches.write.mode("overwrite").parquet(path)
-        matches = self.spark.read.schema(matches.schema).parquet(path)
+        matches = tables.saved(similarity.check(q, self._baseline(), self.cfg.audit_limit, self.cfg))
         return similarity.summary(matches, q).first().asDict(), similarity.findings(matches, self.cfg.findings_limit)

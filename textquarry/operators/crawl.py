@@ -40,6 +40,14 @@ def replace_blocks(stored: DataFrame, fresh: DataFrame, changed_pages: DataFrame
     return kept.select(*columns).unionByName(new.select(*columns))
 
 
+def counted(counts: DataFrame, away: DataFrame, fresh: DataFrame | None) -> DataFrame:
+    """(site_id, content_hash, n) after the blocks `away` are gone and `fresh` have come: deltas, no recount."""
+    deltas = counts.select("site_id", "content_hash", "n").unionByName(away.select("site_id", "content_hash", F.lit(-1).cast("long").alias("n")))
+    if fresh is not None:
+        deltas = deltas.unionByName(fresh.select("site_id", "content_hash", F.lit(1).cast("long").alias("n")))
+    return deltas.groupBy("site_id", "content_hash").agg(F.sum("n").alias("n")).filter("n > 0")
+
+
 def deduplicated(blocks: DataFrame) -> DataFrame:
     """The oldest block of each site and hash."""
     oldest = blocks.groupBy("site_id", "content_hash").agg(F.min("id").alias("id"))
