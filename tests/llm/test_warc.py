@@ -29,6 +29,12 @@ def test_round_trip_and_lookup(spark):
     want = sorted(((i, len((t or "").encode()), digest(t), "response" if first.get(t or "") == i else "revisit", None if first.get(t or "") == i else first[t or ""]) for i, _, t in rows), key=repr)
     got = sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.read_archives(directory, folder).collect()), key=repr)
     assert got == want
+    for most in (0, 1 << 20):
+        asked = pages.select("url").unionByName(spark.createDataFrame([("http://absent.example/",), ("http://z.org",)], "url string"))
+        found = warc.find_records(directory, folder, asked, directory_bytes=most)
+        assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in found.collect()), key=repr) == want
+        some = warc.find_records(directory, folder, spark.createDataFrame([("https://m.example.com/a?b=1",), ("http://absent.example/",)], "url string"), directory_bytes=most)
+        assert sorted(r.page_id for r in some.collect()) == [3, 5]
     assert sorted(f.headers["X-Page-Id"] for f in warc.lookup(directory, folder, "http://m.example.com/a?b=1")) == ["3", "5"]
     for i in range(0, 200, 17):
         (one,) = warc.lookup(directory, folder, f"https://h{i % 7}.example.org/p{i}")
@@ -46,6 +52,7 @@ def test_small_payloads_are_never_revisits(spark):
 def test_no_pages(spark):
     directory, folder = warc.archived(spark, spark.createDataFrame([], "page_id long, url string, html string"))
     assert warc.read_archives(directory, folder).count() == 0
+    assert warc.find_records(directory, folder, spark.createDataFrame([("http://a/",)], "url string")).count() == 0
     assert warc.lookup(directory, folder, "http://a/") == []
 
 
@@ -74,3 +81,11 @@ def test_archives_go_only_where_executors_can_open_them(spark, tmp_path):
             warc.openable(folder)
     # a bare path is qualified before it is used
     assert warc.openable(fresh_path(spark, "warc")).startswith("file:///")
+
+
+def test_one_address_over_many_blocks(spark):
+    pages = spark.createDataFrame([(i, "http://same.org/" if i % 3 else f"http://other.org/{i}", f"text {i}") for i in range(300)], "page_id long, url string, html string")
+    folder = fresh_path(spark, "warc")
+    directory = warc.write_index(warc.write_archives(pages, folder), folder, lines=8)
+    found = warc.find_records(directory, folder, pages.select("url"))
+    assert sorted(r.page_id for r in found.collect()) == list(range(300))

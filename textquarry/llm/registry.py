@@ -49,8 +49,9 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    directory, folder = warc.archived(spark, table(spark, sf_dir, "pages"))
-    return warc.read_archives(directory, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    pages = table(spark, sf_dir, "pages")
+    directory, folder = warc.archived(spark, pages)
+    return warc.find_records(directory, folder, pages.select("url")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:

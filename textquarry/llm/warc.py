@@ -3,7 +3,8 @@
 write_archives() writes one gzip member a record, so any record can be read by its byte range. write_index() sorts the
 captures by reversed-host URL key (range partitions, so no task sorts more than its share), packs the sorted lines into
 compressed blocks of BLOCK_LINES and keeps one directory row a block. Reading starts from the directory: lookup() finds
-the index file and the block by binary search and then reads byte ranges only; read_archives() walks all blocks.
+the index file and the block by binary search and then reads byte ranges only, find_records() does so for a table of URLs;
+read_archives() walks all blocks.
 
 Archives, index files and tables lie in one folder that all executors share. Files are written under a name of their
 attempt and then moved to the name of their partition. Rows are totally ordered within a partition (id, URL, payload digest; equal
@@ -209,32 +210,112 @@ class _Ranges:
         return [x.split(" ") for x in zlib.decompress(self.read(file, offset, length), 31).decode().splitlines()]
 
 
+class _Blocks(_Ranges):
+    """Index blocks, the last one kept, searched by key."""
+
+    def __init__(self, folder: str):
+        super().__init__(folder)
+        self.now, self.kept, self.keys = None, [], []
+
+    def found(self, block: tuple[str, int, int], key: str) -> list[list[str]]:
+        if block != self.now:
+            self.now, self.kept = block, self.lines(*block)
+            self.keys = [x[0] for x in self.kept]
+        return self.kept[bisect_left(self.keys, key) : bisect_right(self.keys, key)]
+
+
 RECORD = "page_id string, key string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string"
 
 
+def _records(ranges: _Ranges, lines: list[list[str]]) -> pa.RecordBatch:
+    """The records of index lines, read in the order of the files, so that ranges are read forwards."""
+    types = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
+    rows = []
+    for key, _, warc, at, size in sorted(lines, key=lambda x: (x[2], int(x[3]))):
+        head, payload = parsed(ranges.read(warc, int(at), int(size)))
+        n, digest, kind = int(head["X-Payload-Length"]), head["WARC-Payload-Digest"].removeprefix("sha1:"), head["WARC-Type"]
+        if kind == "response":
+            n, found = len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()
+            if found != digest:
+                raise ValueError(f"{warc} at {at}: payload digest {found}, header {digest}")
+        page, first = head.get("X-Page-Id"), head.get("X-Refers-To-Page-Id")
+        rows.append((page and unquote(page), key, head["WARC-Target-URI"], n, digest, kind, first and unquote(first)))
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[x.split()[0] for x in RECORD.split(", ")])
+
+
 def _reader(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranges = _Ranges(folder)
-        types = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
-        names = [x.split()[0] for x in RECORD.split(", ")]
         for batch in batches:
-            for file, offset, length in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                rows = []
-                # in the order of the files, so that a block's ranges are read forwards
-                for key, _, warc, at, size in sorted(ranges.lines(file, offset, length), key=lambda x: (x[2], int(x[3]))):
-                    head, payload = parsed(ranges.read(warc, int(at), int(size)))
-                    n, digest, kind = int(head["X-Payload-Length"]), head["WARC-Payload-Digest"].removeprefix("sha1:"), head["WARC-Type"]
-                    if kind == "response":
-                        n, found = len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()
-                        if found != digest:
-                            raise ValueError(f"{warc} at {at}: payload digest {found}, header {digest}")
-                    page, first = head.get("X-Page-Id"), head.get("X-Refers-To-Page-Id")
-                    rows.append((page and unquote(page), key, head["WARC-Target-URI"], n, digest, kind, first and unquote(first)))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+            for block in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                yield _records(ranges, ranges.lines(*block))
+
+    return run
+
+
+#: Bytes of the directory that every task may hold; a larger one is walked instead.
+DIRECTORY_BYTES = 64 << 20
+
+
+def _placed(blocks_of):
+    """(file, offset, length, key) of the blocks that can hold each key, by binary search of the directory."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = blocks_of.value
+        firsts = [b[0] for b in blocks]
+        for batch in batches:
+            rows = []
+            for key in batch.column(0).to_pylist():
+                rows += [(*b[1:], key) for b in blocks[max(0, bisect_left(firsts, key) - 1) : bisect_right(firsts, key)]]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["file", "offset", "length", "key"])
+
+    return run
+
+
+def _searched(folder: str):
+    """The records of the asked keys; rows come sorted by block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = _Blocks(folder)
+        lines: list[list[str]] = []
+        for batch in batches:
+            for file, offset, length, key in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if lines and (file, offset, length) != blocks.now:
+                    yield _records(blocks, lines)
+                    lines = []
+                lines += blocks.found((file, offset, length), key)
+        if lines:
+            yield _records(blocks, lines)
 
     return run
 
 
+def find_records(directory: DataFrame, folder: str, urls: DataFrame, page_type: str = "long", directory_bytes: int = DIRECTORY_BYTES) -> DataFrame:
+    """The records of all URLs in the first column of `urls`, each record once: page_id, key, url, payload_bytes, payload_digest,
+    record_type, refers_to; ids are cast to `page_type`.
+
+    Every task holds the sparse directory, if its size allows, and finds each key's blocks by binary search; a block's
+    keys then meet in one task, which finds their lines by binary search and reads the records' ranges together. URLs that are repeated or
+    have no record cost nothing more. With a directory beyond `directory_bytes` all blocks are walked and joined with the keys.
+    """
+    size = directory.agg(F.coalesce(F.sum(F.octet_length("first_key") + F.octet_length("file") + 64), F.lit(0))).first()[0]
+    # each key once: a URL that many rows have is looked up once
+    keys = urls.select(F.col(f"`{urls.columns[0]}`").alias("url")).mapInArrow(_keys, "key string").distinct()
+    if size > directory_bytes:
+        return read_archives(directory, folder, page_type).join(keys, "key", "left_semi").select(*(x.split()[0] for x in RECORD.split(", ")))
+    blocks = sorted((r.first_key, r.file, r.offset, r.length) for r in directory.collect())
+    shared = directory.sparkSession.sparkContext.broadcast(blocks)
+    placed = keys.mapInArrow(_placed(shared), "file string, offset long, length long, key string")
+    dealt = placed.repartition(parts(directory.sparkSession), "file", "offset").sortWithinPartitions("file", "offset", "key")
+    return dealt.mapInArrow(_searched(folder), RECORD).withColumns({c: F.col(c).cast(page_type) for c in ("page_id", "refers_to")})
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([url_key(u) for u in batch.column(0).to_pylist()], pa.string())], names=["key"])
+
+
 def read_archives(directory: DataFrame, folder: str, page_type: str = "long") -> DataFrame:
     """Every record, found through the index: blocks are dealt over the tasks, their lines give the records' ranges.
 
