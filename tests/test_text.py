@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 import unicodedata
+from difflib import SequenceMatcher
+from random import Random
 
 from pyspark.sql import functions as F
 
@@ -70,3 +73,25 @@ def test_hash_embedding(spark):
         assert got.get(i, {}) == {b: w for b, w in want.items() if w}
         dense = embedding._vectors([x], 512)[0]
         assert {b: int(w) for b, w in enumerate(dense) if w} == got.get(i, {})
+
+
+def test_common_blocks_as_difflib():
+    random = Random(4)
+    for n in range(400):
+        letters = "ab" if n % 2 else "abcdefgh "
+        a = "".join(random.choice(letters) for _ in range(random.randrange(60)))
+        b = "".join(random.choice(letters) for _ in range(random.randrange(60)))
+        if n % 3 == 0:
+            b = a[: len(a) // 2] + b + a[len(a) // 3 :]
+        expected = [(m.a, m.b, m.size) for m in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks() if m.size >= 3]
+        assert sorted(t.common_blocks(a, b, 3)) == expected, (a, b)
+
+
+def test_common_blocks_of_long_texts_take_under_a_second():
+    random = Random(6)
+    words = ["".join(random.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(random.randrange(2, 9))) for _ in range(900)]
+    text = " ".join(random.choice(words) for _ in range(4000))[:20_000]
+    other = "".join(c if random.random() > 0.002 else "#" for c in text)
+    began = time.perf_counter()
+    hit = sum(len(s["text"]) for s in t.segments(text, other) if s["matched"])
+    assert time.perf_counter() - began < 1 and hit > 19_000

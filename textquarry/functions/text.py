@@ -6,7 +6,6 @@ All but NFKC and highlighting are built-in expressions. NFKC runs on Arrow colum
 from __future__ import annotations
 
 import unicodedata
-from difflib import SequenceMatcher
 
 import pandas as pd
 import pyarrow as pa
@@ -103,15 +102,79 @@ def risk_level(score: Column) -> Column:
     return F.when(score >= 0.90, "high").when(score >= 0.75, "medium").otherwise("low")
 
 
+class _Automaton:
+    """The suffix automaton of a string: a state for each set of substrings that end at the same places, with the first of them."""
+
+    def __init__(self, text: str):
+        self.next: list[dict[str, int]] = [{}]
+        self.link, self.length, self.first = [-1], [0], [0]
+        last = 0
+        for at, c in enumerate(text, 1):
+            state = len(self.next)
+            self.next.append({})
+            self.link.append(0)
+            self.length.append(self.length[last] + 1)
+            self.first.append(at)
+            p = last
+            while p >= 0 and c not in self.next[p]:
+                self.next[p][c] = state
+                p = self.link[p]
+            if p >= 0:
+                q = self.next[p][c]
+                if self.length[q] != self.length[p] + 1:
+                    # the shorter strings of q end at more places: they get a state of their own
+                    copy = len(self.next)
+                    self.next.append(dict(self.next[q]))
+                    self.link.append(self.link[q])
+                    self.length.append(self.length[p] + 1)
+                    self.first.append(self.first[q])
+                    while p >= 0 and self.next[p].get(c) == q:
+                        self.next[p][c] = copy
+                        p = self.link[p]
+                    self.link[q] = copy
+                    q = copy
+                self.link[state] = q
+            last = state
+
+    def longest(self, text: str) -> tuple[int, int, int]:
+        """(place in text, place in the automaton's string, length) of the longest common substring: of equal ones the first
+        in text, then in the string."""
+        state = size = 0
+        best = (0, 0, 0)
+        for at, c in enumerate(text, 1):
+            while state and c not in self.next[state]:
+                state = self.link[state]
+                size = self.length[state]
+            if c in self.next[state]:
+                state, size = self.next[state][c], size + 1
+            if size > best[2]:
+                best = (at - size, self.first[state] - size, size)
+        return best
+
+
+def common_blocks(a: str, b: str, least: int) -> list[tuple[int, int, int]]:
+    """The longest common block, then those left and right of it on both sides, as long as they have `least` characters: (place
+    in a, place in b, length). A range is searched in time of its length, as its automaton takes no more."""
+    out, ranges = [], [(0, len(a), 0, len(b))]
+    while ranges:
+        a0, a1, b0, b1 = ranges.pop()
+        if a1 - a0 < least or b1 - b0 < least:
+            continue
+        i, j, size = _Automaton(b[b0:b1]).longest(a[a0:a1])
+        if size >= least:
+            out.append((a0 + i, b0 + j, size))
+            ranges += [(a0, a0 + i, b0, b0 + j), (a0 + i + size, a1, b0 + j + size, b1)]
+    return out
+
+
 def segments(query: str, original: str, least: int = 3) -> list[dict]:
     """Runs of matched and unmatched characters of `original`."""
     if not original:
         return []
     hit = bytearray(len(original))
-    for block in SequenceMatcher(None, query.lower(), original.lower(), autojunk=False).get_matching_blocks():
-        if block.size >= least:
-            end = min(block.b + block.size, len(original))
-            hit[block.b : end] = b"\x01" * max(0, end - block.b)
+    for _, at, size in common_blocks(query.lower(), original.lower(), least):
+        end = min(at + size, len(original))
+        hit[at:end] = b"\x01" * max(0, end - at)
     edges = [0, *(i for i in range(1, len(original)) if hit[i] != hit[i - 1]), len(original)]
     return [{"text": original[a:b], "matched": bool(hit[a])} for a, b in zip(edges, edges[1:], strict=False)]
 
