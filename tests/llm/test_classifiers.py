@@ -1,8 +1,12 @@
 from __future__ import annotations
 
+import math
 import zlib
+from bisect import bisect_right
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.conftest import SCHEMA, sentence
 from textquarry.llm import quality_classifier, toxicity
@@ -48,8 +52,6 @@ def test_both_classes_are_told_apart(spark):
 
 def test_held_out_labels_are_never_read(spark):
     docs, labels, _ = corpus(spark)
-    from pyspark.sql import functions as F
-
     for classified, column, n, k in ((quality_classifier.classified, "quality", 5, 0), (toxicity.classified, "toxic", 4, 2)):
         held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % n == k
         flipped = labels.withColumn(column, F.when(held, 1 - F.col(column)).otherwise(F.col(column)))
@@ -137,3 +139,28 @@ def test_rare_toxic_words_are_trained_on(spark):
     docs = spark.createDataFrame(rows, SCHEMA)
     labels = spark.createDataFrame([(i, 1, i % 2) for i in range(6000)], LABELS)
     assert toxicity.spelled(b"qablixtor")[4:-4] in toxicity.train(docs, labels).toxic
+
+
+def test_quality_scores_as_plain_sums_of_table_entries(spark):
+    """The whole query against every row's bins looked up one by one."""
+    docs, labels, _ = corpus(spark)
+    model = quality_classifier.train(docs, labels)
+    assert any(np.abs(t).max() > 0 for t in model.tables) and any(np.abs(t).max() > 0 for t in model.pairs.values())
+    expected = {}
+    for row in quality_classifier.features(docs, [F.col("doc_id")], F.col("text")).collect():
+        x = [row[f] for f in quality_classifier.FEATURES]
+        z = model.intercept + sum(float(t[bisect_right(list(e), v)]) for e, t, v in zip(model.edges, model.tables, x, strict=True))
+        for (i, j), t in model.pairs.items():
+            z += float(t[bisect_right(list(model.pair_edges[i]), x[i]), bisect_right(list(model.pair_edges[j]), x[j])])
+        expected[row.doc_id] = 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+    got = quality_classifier.classified(docs, labels).collect()
+    assert len(got) == docs.count() == len(expected)
+    for row in got:
+        assert row.score == pytest.approx(expected[row.doc_id], abs=1e-12) and row.predicted == int(row.score >= 0.3)
+        assert row.held_out == (zlib.crc32(str(row.doc_id).encode()) % 5 == 0)
+
+
+def test_a_dictionary_without_training_has_the_most_frequent_windows():
+    samples = [bytes([i, i + 1]) * 20 for i in range(12)]
+    assert toxicity.dictionary([*samples, samples[7], samples[3], samples[3]], 100) == samples[7] + samples[3]
+    assert len(toxicity.dictionary(samples[:2], 400)) == 80
