@@ -12,8 +12,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from textquarry.engine import Engine
-from textquarry.operators import embedding, postings
+from textquarry.operators import crawl, embedding, postings
 from textquarry.operators.vector_index import VectorIndex, recall
+from textquarry.sources import http, tables
 
 PAGES = "url string, html string, http_status int, content_type string, rank long, error string"
 LINKS = "url string, reason string"
@@ -145,6 +146,42 @@ def test_accounts_of_a_walk(spark, tmp_path):
     assert report["skipped"] == [{"url": "https://s.example/private", "reason": "excluded"}] and report["errors"] == got["errors"]
 
 
+def test_two_sites_are_walked_in_one_loop(spark, tmp_path):
+    """Each site keeps its order, budget, policy and delay; the hosts are fetched side by side."""
+    e = Engine(spark, f"file://{tmp_path}/ws")
+    delay = 400
+    one = e.create_site("One", "one.example", crawler_max_pages=4, request_delay_ms=delay, exclude_patterns=["/private"])
+    two = e.create_site("Two", "two.example", crawler_max_pages=3, request_delay_ms=delay)
+    to = lambda *links: "<!doctype html>" + "".join(f'<a href="{x}">x</a>' for x in links) + "<p>some words of this page</p>"
+    web = {
+        "https://one.example/": to("/b", "/a", "/private/x", "https://two.example/"), "https://one.example/a": to("/late"), "https://one.example/b": to("/", "/later"),
+        "https://one.example/late": to(), "https://one.example/later": to(), "https://two.example/": to("/gone", "/c", "/d"), "https://two.example/c": to("/e"),
+    }
+    log = str(tmp_path / "log")
+
+    def get(url, domains):
+        with open(log, "a") as out:
+            out.write(f"{time.time()} {url}\n")
+        if url not in web:
+            raise TimeoutError("timed out")
+        return url, 200, "text/html", web[url].encode()
+
+    pages, links = e.fetched_many([one, two], lambda front: http.polite(front, get, 4))
+    visits = {s: [r.asked.split("example")[1] for r in pages.filter(F.col("site_id") == s).orderBy("rank").collect()] for s in (one, two)}
+    assert visits[one][:1] == ["/"] and set(visits[one][1:3]) == {"/a", "/b"} and len(visits[one]) == 4
+    assert visits[two][0] == "/" and len(visits[two]) == 3
+    alone, _ = crawl.live_walk("https://one.example/", "one.example", lambda urls: http.polite(spark.createDataFrame([(1, x, i, "one.example", 0) for i, x in enumerate(urls)], "site_id long, url string, rank long, domain string, delay_ms int"), get, 1).drop("site_id", "rank"), 4, lambda url: F.when(url.contains("/private"), "excluded"), tables.saved)
+    assert [r.asked for r in alone.orderBy("rank").collect()] == [f"https://one.example{x}" for x in visits[one]]
+    assert [r.reason is not None for r in links.filter("url like '%private%'").collect()] == [True]
+    stamps = [line.split() for line in open(log)][:7]
+    for host in ("one.example", "two.example"):
+        mine = [float(t) for t, url in stamps if host in url]
+        # levels are separate rounds; within one the host's delay holds
+        assert all(b - a >= delay / 1000 - 0.01 for a, b in zip(mine, mine[1:], strict=False)), mine
+    got = e.crawl(two, pages.filter(F.col("site_id") == two).drop("site_id"), links.filter(F.col("site_id") == two).drop("site_id"))
+    assert got["errors"] and all("timed out" in x for x in got["errors"])
+
+
 def test_jobs_run_in_the_background(spark, tmp_path):
     e = Engine(spark, f"file://{tmp_path}")
     site = e.create_site("S", "s.example")

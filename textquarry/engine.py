@@ -27,7 +27,7 @@ from textquarry.running import Running
 from textquarry.session import steady
 from textquarry.settings import DEFAULT, Settings
 from textquarry.sources import tables
-from textquarry.sources.http import HttpPages
+from textquarry.sources.http import HttpPages, polite
 from textquarry.sources.sinks import check_rows
 from textquarry.sources.workspace import Workspace
 
@@ -269,6 +269,22 @@ class Engine:
         pages, links = crawl.live_walk(home, site.domain, fetch or live, site.crawler_max_pages or self.cfg.crawler_max_pages, reason, tables.saved, allowed)
         return pages, links
 
+    def fetched_many(self, site_ids: list[int], fetch: Callable[[DataFrame], DataFrame] = polite) -> tuple[DataFrame, DataFrame]:
+        """Walks several sites at once, each within its own budget and with its own delay: pages and links with their site_id."""
+        empty = F.array().cast("array<string>")
+        patterns = {"include": "include_patterns", "exclude": "exclude_patterns", "allowed": "allowed_query_params"}
+        mine = self.table("sites").filter(F.col("id").isin(site_ids))
+        rules = mine.select(
+            F.col("id").alias("site_id"), F.concat(F.lit("https://"), "domain", F.lit("/")).alias("home"), "domain", F.coalesce("crawler_max_pages", F.lit(self.cfg.crawler_max_pages)).alias("maximum"),
+            F.coalesce("request_delay_ms", F.lit(0)).alias("delay_ms"), *[F.coalesce(column, empty).alias(name) for name, column in patterns.items()],
+        )
+        return crawl.live_walks(rules, fetch, tables.saved)
+
+    def crawl_many(self, site_ids: list[int], fetch: Callable[[DataFrame], DataFrame] = polite) -> dict[int, dict]:
+        """Walks the sites together, then stores each one's pages."""
+        pages, links = self.fetched_many(site_ids, fetch)
+        return {s: self.crawl(s, pages.filter(F.col("site_id") == s).drop("site_id"), links.filter(F.col("site_id") == s).drop("site_id")) for s in site_ids}
+
     def skipped(self, links: DataFrame) -> list[Row]:
         """The first MOST_LISTED links that weren't followed, with the reason."""
         return links.filter("reason is not null").orderBy("url").limit(MOST_LISTED).collect()

@@ -148,3 +148,36 @@ def live_walk(home: str, domain: str, fetch: Callable[[list[str]], DataFrame], m
         front = [r.url for r in new.select("url").collect()]
         asked |= set(front)
     return pages, links.select("url", "reason").distinct()
+
+
+def live_walks(sites: DataFrame, fetch: Callable[[DataFrame], DataFrame], save: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """live_walk() for many sites at once: one frontier table, a level of all sites in each round.
+
+    sites: site_id, home, domain, maximum, delay_ms, include, exclude, allowed (arrays). fetch(front) gets site_id, url, rank,
+    domain, delay_ms and gives site_id, url, rank, final_url, http_status, content_type, html, error. Returns pages (site_id, url, asked,
+    rank, http_status, content_type, html, error) and links (site_id, url, reason). Nothing of the frontier is collected; each site's order and
+    budget are its own, as if it were walked alone.
+    """
+    rules = ["domain", "home", "maximum", "delay_ms", "include", "exclude", "allowed"]
+    sites = save(sites.select("site_id", *rules))
+    front = save(sites.select("site_id", F.col("home").alias("url"), F.lit(1).cast("long").alias("rank")))
+    asked, pages, links = front, None, None
+    while True:
+        got = fetch(front.join(sites.select("site_id", "domain", "delay_ms"), "site_id")).join(sites, "site_id")
+        link = F.coalesce(u.uniform_link(F.col("final_url"), F.col("url"), F.col("domain"), F.col("allowed")), F.col("url"))
+        fault = F.coalesce("error", F.when(~h.is_html(F.coalesce("html", F.lit("")), F.coalesce("content_type", F.lit(""))), "not HTML"))
+        level = save(got.select("site_id", link.alias("url"), F.col("url").alias("asked"), "rank", "http_status", "content_type", "html", fault.alias("error")))
+        targets = level.filter("error is null").join(sites, "site_id").withColumn("l", h.extract_targets(F.col("html"), F.col("url")))
+        each = targets.select("site_id", "rank", F.posexplode(h.internal_links(F.col("l"), F.col("url"), F.col("domain"), F.col("allowed"))).alias("position", "link"))
+        found = each.groupBy("site_id", F.col("link").alias("url")).agg(F.min(F.struct("rank", "position")).alias("o")).join(sites.select("site_id", "home", "include", "exclude"), "site_id")
+        found = save(found.select("site_id", "url", "o", u.policy_reason(F.col("url"), F.col("include"), F.col("exclude"), F.col("home")).alias("reason")))
+        pages = level if pages is None else pages.unionByName(level)
+        links = found if links is None else links.unionByName(found)
+        new = found.filter("reason is null").join(asked.select("site_id", "url"), ["site_id", "url"], "left_anti")
+        held = asked.groupBy("site_id").agg(F.count("*").alias("n")).join(sites.select("site_id", "maximum"), "site_id")
+        order = Window.partitionBy("site_id").orderBy("o", "url")
+        ranked = new.withColumn("i", F.row_number().over(order)).join(held, "site_id").withColumn("rank", (F.col("n") + F.col("i")).cast("long"))
+        front = save(ranked.filter("rank <= maximum").select("site_id", "url", "rank"))
+        if front.isEmpty():
+            return pages, links.select("site_id", "url", "reason").distinct()
+        asked = save(asked.unionByName(front))
