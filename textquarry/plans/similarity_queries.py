@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textquarry.functions import text as t
-from textquarry.operators import embedding, similarity
+from textquarry.operators import crawl, embedding, postings, similarity
 from textquarry.operators.guard import blocks_of
 from textquarry.operators.set_join import similar_sets
+from textquarry.operators.vector_index import VectorIndex
 from textquarry.settings import DEFAULT
 from textquarry.sources import tables
 
@@ -236,6 +237,44 @@ def vector_topk(spark, sf):
     return out.select("query_id", "vec_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+def vector_lists(spark, sf):
+    """vector_topk by inverted lists, all of which are read: exact."""
+    rows = tables.read(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("vec_id").alias("site_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    index = VectorIndex.build(rows, tables.fresh_folder(spark, "vector-lists"))
+    out = None
+    for part in blocks_of(rows.filter("id % 50 = 0").withColumnRenamed("id", "query_id")):
+        one = index.search(part, 10, probes=len(index.centroids))
+        out = one if out is None else out.unionByName(one)
+    return out.select("query_id", F.col("id").alias("vec_id"), F.round("semantic", 6).alias("score"), F.col("semantic_rank").cast("long").alias("rank"))
+
+
+#: Patterns that keyword_postings looks for, with wildcards, in either case.
+KEYWORDS = ("password", "The%of", "e_a%ing", "Copyright", "zzzzqq")
+
+
+def keyword_postings(spark, sf):
+    """How many documents match each pattern: by the 3-gram postings, then by the whole pattern."""
+    blocks = tables.blocks(spark, sf).withColumn("page_title", F.lit(None).cast("string"))
+    table = tables.saved(postings.postings(blocks))
+    out = None
+    for word in KEYWORDS:
+        near = postings.candidates(table, f"%{word}%")
+        mine = blocks.join(near.select("id"), "id", "left_semi").filter(F.col("original_content").ilike(f"%{word}%"))
+        one = mine.agg(F.lit(word).alias("keyword"), F.count("*").alias("n"), F.coalesce(F.min("id"), F.lit(-1).cast("long")).alias("first_id"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def hash_count_deltas(spark, sf):
+    """Counts of hashes a site after every fourth page is gone and comes again with changed lines, by deltas of the stored counts."""
+    lines = tables.saved(tables.lines(spark, sf).select("site_id", "doc_id", "line", "content", t.hash_of(t.normalized(F.col("content"))).alias("content_hash")))
+    counts = lines.groupBy("site_id", "content_hash").agg(F.count("*").alias("n"))
+    away = lines.filter("doc_id % 4 = 0")
+    edited = F.when(F.col("line") % 2 == 0, F.concat("content", F.lit(" new"))).otherwise(F.col("content"))
+    fresh = away.withColumn("content_hash", t.hash_of(t.normalized(edited)))
+    return crawl.counted(counts, away, fresh)
+
+
 def cosine_pairs(spark, sf):
     """Every vector with its successor."""
     rows = tables.read(spark, sf, "embeddings").select("vec_id", "embedding")
@@ -316,6 +355,9 @@ SELECT doc_id, overlap, greatest((CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 EL
     "hash_embedding": f"WITH x AS (SELECT doc_id, {n('text')} AS n FROM documents), {sparse('x', 'doc_id', 'n', 'v')} SELECT doc_id, bucket, weight FROM v",
     "semantic_top200": f"{ITEMS_Q}, {semantic_sql()} SELECT query_id, id, round(semantic, 9) AS semantic, semantic_rank FROM sem",
     "vector_topk": "WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(q.v, e.v), 6) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.v, e.v) DESC, e.vec_id) AS rank FROM e q, e WHERE q.vec_id % 50 = 0 AND q.vec_id <> e.vec_id QUALIFY rank <= 10",
+    "keyword_postings": " UNION ALL ".join(f"SELECT '{k}' AS keyword, count(*) AS n, coalesce(min(doc_id), -1) AS first_id FROM documents WHERE text ILIKE '%{k}%'" for k in KEYWORDS),
+    "hash_count_deltas": f"""WITH l AS (SELECT doc_id, {SITE} AS site_id, generate_subscripts(s, 1) - 1 AS line, unnest(s) AS content FROM (SELECT doc_id, source, string_split(text, chr(10)) AS s FROM documents))
+SELECT site_id, sha256({n("CASE WHEN doc_id % 4 = 0 AND line % 2 = 0 THEN content || ' new' ELSE content END")}) AS content_hash, count(*) AS n FROM l GROUP BY 1, 2""",
     "cosine_pairs": "SELECT a.vec_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1",
     "trigram_candidates": f"{ITEMS_Q}, {trigram_sql()} SELECT query_id, id, trigram, lexical_rank FROM lex",
     "candidate_union": f"{ITEMS_Q}, {candidates_sql()} SELECT query_id, id, source, source_rank FROM pairs",
@@ -325,8 +367,9 @@ SELECT doc_id, overlap, greatest((CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 EL
     "site_audit_summary": f"{AUDIT}, top AS (SELECT * FROM matches WHERE rank = 1) SELECT (SELECT count(*) FROM q) AS total_blocks, count(*) AS matched_blocks, count(*) FILTER (risk_level = 'high') AS high_risk_blocks, count(*) FILTER (risk_level = 'medium') AS medium_risk_blocks, count(*) FILTER (risk_level = 'low') AS low_risk_blocks, round(coalesce(max(overall), 0.0), 9) AS max_similarity FROM top",
 }
 
+ORACLES["vector_lists"] = ORACLES["vector_topk"]
 QUERIES = {f.__name__: f for f in (
     normalize_documents, content_hash_documents, exact_cross_site, exact_candidates_top50, dedupe_site_blocks, dedupe_self_join, hash_multiplicity, page_hash_lists, ngram_counts, jaccard_benchmark,
-    chemical_strip, embedding_text, lexical_discounted, hash_embedding, semantic_top200, vector_topk, cosine_pairs, trigram_candidates, candidate_union, similarity_check, risk_levels,
+    chemical_strip, embedding_text, lexical_discounted, hash_embedding, semantic_top200, vector_topk, vector_lists, keyword_postings, hash_count_deltas, cosine_pairs, trigram_candidates, candidate_union, similarity_check, risk_levels,
     site_audit_findings, site_audit_summary, highlight_matches,
 )}

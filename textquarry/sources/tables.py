@@ -50,9 +50,13 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select((F.col("doc_id") * 10_000_000 + F.col("line")).alias("id"), "doc_id", "line", site_of(F.col("source")).alias("site_id"), "content")
 
 
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/textquarry/{name}-{uuid.uuid4().hex}"
+
+
 def saved(df: DataFrame) -> DataFrame:
     """df written to the folder that all executors share, and reread: cuts the lineage of driver loops."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/textquarry/saved-{uuid.uuid4().hex}"
+    path = fresh_folder(spark, "saved")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
