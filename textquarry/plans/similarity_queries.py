@@ -12,6 +12,7 @@ from textquarry.operators.set_join import similar_sets
 from textquarry.operators.vector_index import VectorIndex
 from textquarry.settings import DEFAULT
 from textquarry.sources import tables
+from textquarry.sources.sinks import check_rows
 
 # ---------------------------------------------------------------- SQL pieces
 #: Texts that hold chemical fields: every third document gets some.
@@ -248,6 +249,23 @@ def vector_lists(spark, sf):
     return out.select("query_id", F.col("id").alias("vec_id"), F.round("semantic", 6).alias("score"), F.col("semantic_rank").cast("long").alias("rank"))
 
 
+def persisted_checks(spark, sf):
+    """Every benchmark passage's persisted check: its results go through JSON and back, one row a result, rounded as stored."""
+    asked = items(spark, sf)
+    rows = check_rows(asked, similarity.check(asked, baseline(spark, sf), DEFAULT.result_limit))
+    kind = rows.schema["results"].dataType
+    back = rows.select("query_id", "result_count", "top_score", F.explode_outer(F.from_json(F.to_json("results"), kind)).alias("r"))
+    return back.select("query_id", "result_count", "top_score", F.coalesce("r.content_block_id", F.lit(-1)).alias("content_block_id"), "r.overall_similarity", "r.risk_level", F.coalesce("r.exact_match", F.lit(False)).alias("exact_match"), F.coalesce(F.col("r.rank").cast("long"), F.lit(0)).alias("rank"))
+
+
+def signature_scope(spark, sf):
+    """Every third block has vectors of another signature: it is no semantic candidate, but still an exact one."""
+    q, b = similarity.prepare(candidate_blocks(spark, sf)), similarity.prepare(baseline(spark, sf))
+    b = b.withColumn("embedding_version", F.when(F.col("id") % 3 == 0, "legacy").otherwise(DEFAULT.signature))
+    near = similarity.semantic_candidates(q, b).filter("semantic_rank <= 3").select("query_id", "id", F.lit("semantic").alias("source"), F.col("semantic_rank").cast("long").alias("rank"))
+    return near.unionByName(similarity.exact_candidates(q, b).select("query_id", "id", F.lit("exact").alias("source"), F.col("exact_rank").cast("long").alias("rank")))
+
+
 #: Patterns that keyword_postings looks for, with wildcards, in either case.
 KEYWORDS = ("password", "The%of", "e_a%ing", "Copyright", "zzzzqq")
 
@@ -355,6 +373,11 @@ SELECT doc_id, overlap, greatest((CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 EL
     "hash_embedding": f"WITH x AS (SELECT doc_id, {n('text')} AS n FROM documents), {sparse('x', 'doc_id', 'n', 'v')} SELECT doc_id, bucket, weight FROM v",
     "semantic_top200": f"{ITEMS_Q}, {semantic_sql()} SELECT query_id, id, round(semantic, 9) AS semantic, semantic_rank FROM sem",
     "vector_topk": "WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(q.v, e.v), 6) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.v, e.v) DESC, e.vec_id) AS rank FROM e q, e WHERE q.vec_id % 50 = 0 AND q.vec_id <> e.vec_id QUALIFY rank <= 10",
+    "persisted_checks": f"""{CHECK}, best AS (SELECT query_id, CAST(count(*) AS INTEGER) AS result_count, round(max(overall), 4) AS top_score FROM matches GROUP BY 1)
+SELECT i.query_id, coalesce(result_count, 0) AS result_count, top_score, coalesce(id, -1) AS content_block_id, round(overall, 4) AS overall_similarity, risk_level, coalesce(exact_match, false) AS exact_match, coalesce(rank, 0) AS rank
+FROM ({QUERY_ITEMS}) i LEFT JOIN best USING (query_id) LEFT JOIN matches USING (query_id)""",
+    "signature_scope": f"""WITH {prepared(QUERY_SITES, 'q')}, {prepared(BASELINE, 'ba')}, b AS (SELECT * FROM ba WHERE id % 3 <> 0), {semantic_sql(3)}, {EXACT.replace('JOIN b ', 'JOIN ba b ')}
+SELECT query_id, id, 'semantic' AS source, semantic_rank AS rank FROM sem UNION ALL SELECT query_id, id, 'exact', exact_rank FROM ex""",
     "keyword_postings": " UNION ALL ".join(f"SELECT '{k}' AS keyword, count(*) AS n, coalesce(min(doc_id), -1) AS first_id FROM documents WHERE text ILIKE '%{k}%'" for k in KEYWORDS),
     "hash_count_deltas": f"""WITH l AS (SELECT doc_id, {SITE} AS site_id, generate_subscripts(s, 1) - 1 AS line, unnest(s) AS content FROM (SELECT doc_id, source, string_split(text, chr(10)) AS s FROM documents))
 SELECT site_id, sha256({n("CASE WHEN doc_id % 4 = 0 AND line % 2 = 0 THEN content || ' new' ELSE content END")}) AS content_hash, count(*) AS n FROM l GROUP BY 1, 2""",
@@ -370,6 +393,6 @@ SELECT site_id, sha256({n("CASE WHEN doc_id % 4 = 0 AND line % 2 = 0 THEN conten
 ORACLES["vector_lists"] = ORACLES["vector_topk"]
 QUERIES = {f.__name__: f for f in (
     normalize_documents, content_hash_documents, exact_cross_site, exact_candidates_top50, dedupe_site_blocks, dedupe_self_join, hash_multiplicity, page_hash_lists, ngram_counts, jaccard_benchmark,
-    chemical_strip, embedding_text, lexical_discounted, hash_embedding, semantic_top200, vector_topk, vector_lists, keyword_postings, hash_count_deltas, cosine_pairs, trigram_candidates, candidate_union, similarity_check, risk_levels,
+    chemical_strip, embedding_text, lexical_discounted, hash_embedding, semantic_top200, vector_topk, vector_lists, keyword_postings, hash_count_deltas, persisted_checks, signature_scope, cosine_pairs, trigram_candidates, candidate_union, similarity_check, risk_levels,
     site_audit_findings, site_audit_summary, highlight_matches,
 )}

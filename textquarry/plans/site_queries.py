@@ -142,7 +142,38 @@ def block_keep_first(spark, sf):
     return first.select("doc_id", F.col("line").cast("long").alias("line"))
 
 
+def site_order(spark, sf):
+    """Sites by the time they were made, newest first, then by id; times are shared by several here."""
+    made = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("site_id") % 4 * 60)
+    rows = tables.sites(spark, sf).select("site_id", made.alias("created_at"))
+    rank = F.row_number().over(Window.orderBy(F.desc("created_at"), F.desc("site_id")))  # a row a site
+    return rows.select("site_id", rank.cast("long").alias("place"))
+
+
+def json_columns(spark, sf):
+    """Lists as the JSON text that a table column holds, and how many entries come back from it."""
+    words = F.slice(F.split("text", " "), 1, 3)
+    rows = tables.read(spark, sf, "documents").select("doc_id", F.to_json(F.filter(words, lambda w: w.rlike("^[A-Za-z]+$"))).alias("stored"))
+    return rows.select("doc_id", "stored", F.size(F.from_json("stored", "array<string>")).cast("long").alias("n"))
+
+
+def skip_segments(spark, sf):
+    """Links with a path segment that never leads to a page have no uniform form."""
+    segment = F.element_at(F.array(*map(F.lit, SEGMENT_CASES)), (F.col("page_id") % len(SEGMENT_CASES) + 1).cast("int"))
+    link = F.concat(F.lit("https://"), u.host(F.col("url")), F.lit("/"), segment, F.lit("/x"))
+    return pages(spark, sf).select("page_id", u.uniform_link(link, F.col("url"), u.host(F.col("url"))).isNull().alias("skipped"))
+
+
+def error_report(spark, sf):
+    """A crawl's errors as its row keeps them: the first 30 a site by URL, each with at most 180 characters of the reason."""
+    rows = pages(spark, sf).select((F.col("page_id") % 10).alias("site_id"), "url", "page_id", F.substring("html", 1, 180).alias("reason"))
+    rank = F.row_number().over(Window.partitionBy("site_id").orderBy("url", "page_id"))
+    return rows.withColumn("rank", rank).filter(F.col("rank") <= 30).select("site_id", F.col("rank").cast("long").alias("rank"), F.sha2(F.concat_ws(": ", "url", "reason"), 256).alias("error_sha256"))
+
+
 # ---------------------------------------------------------------- URLs
+#: Path segments of skip_segments' links: some that are skipped, some that only look so.
+SEGMENT_CASES = (*sorted(u.SKIP_SEGMENTS), "about", "loginhelp", "news")
 PATHS = ("/product/list/item-1000573-03-4", "/catalog/x", "/about/us", "/", "/news/a/b", "/services/lab%20work")
 
 
@@ -358,6 +389,10 @@ ORACLES = {
     "validate_url": f"SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'scheme' WHEN 1 THEN 'format' ELSE CASE WHEN host <> 'example.com' AND host NOT LIKE '%.example.com' THEN 'host' WHEN page_id % 5 = 2 THEN 'port' END END AS fault FROM ({LINKS})",
     "validate_site": f"SELECT site_id, CASE WHEN length(domain) < 3 THEN 'domain' WHEN NOT site_id * 700 - 100 BETWEEN 1 AND 5000 THEN 'max_pages' WHEN NOT site_id * 600 BETWEEN 0 AND 5000 THEN 'delay_ms' WHEN NOT site_id / 10 BETWEEN 0.1 AND 1.0 THEN 'coverage' END AS fault FROM ({SQL_SITES})",
     "change_detection": f"WITH {STORED}, {FETCHED} SELECT site_id, url, CASE WHEN s.content_hash IS NULL THEN 'new' WHEN f.content_hash IS NULL THEN 'missing' WHEN s.content_hash = f.content_hash THEN 'unchanged' ELSE 'changed' END AS change FROM stored s FULL JOIN fetched f USING (site_id, url)",
+    "site_order": f"SELECT site_id, row_number() OVER (ORDER BY site_id % 4 DESC, site_id DESC) AS place FROM ({SQL_SITES})",
+    "json_columns": "SELECT doc_id, CAST(to_json(w) AS VARCHAR) AS stored, len(w) AS n FROM (SELECT doc_id, list_filter(string_split(text, ' ')[1:3], lambda x: regexp_matches(x, '^[A-Za-z]+$')) AS w FROM documents)",
+    "skip_segments": f"SELECT page_id, page_id % {len(SEGMENT_CASES)} < {len(u.SKIP_SEGMENTS)} AS skipped FROM pages",
+    "error_report": "SELECT site_id, rank, sha256(url || ': ' || substr(html, 1, 180)) AS error_sha256 FROM (SELECT page_id % 10 AS site_id, url, html, row_number() OVER (PARTITION BY page_id % 10 ORDER BY url, page_id) AS rank FROM pages) WHERE rank <= 30",
     "page_upsert": f"WITH {STORED}, {FETCHED} SELECT site_id, url, coalesce(f.content_hash, s.content_hash) AS content_hash FROM stored s FULL JOIN fetched f USING (site_id, url)",
     "block_replace": f"""WITH {LINES}, kept AS (SELECT site_id, doc_id, sha256({n('content')}) AS c FROM lines WHERE doc_id % 4 <> 0),
 fresh AS (SELECT site_id, doc_id, line, sha256({n("CASE WHEN line % 2 = 0 THEN content || ' new' ELSE content END")}) AS c FROM lines WHERE doc_id % 4 = 0),
@@ -377,5 +412,5 @@ SELECT site_id, doc_id AS page_id, count(*) AS n, sha256(string_agg(c, ',' ORDER
 QUERIES = {f.__name__: f for f in (
     stats, site_overview, content_search, content_page, content_total, block_lookup, latest_job, active_jobs, run_history, recover_jobs, create_jobs, html_gate, page_digest, page_blocks, page_links,
     page_titles, boilerplate_filter, block_length_filter, block_keep_first, url_product_route, url_dynamic_product, product_markers, url_policy, url_query_whitelist, link_priority, canonical_host,
-    validate_url, validate_site, change_detection, page_upsert, block_replace, stale_pages, prune_guard, prune, crawl_summary, delete_site, reindex_site, patch_site, remove_product_pages, bfs_frontier, crawl_preview,
+    validate_url, validate_site, change_detection, page_upsert, block_replace, stale_pages, prune_guard, prune, crawl_summary, delete_site, reindex_site, patch_site, remove_product_pages, bfs_frontier, crawl_preview, site_order, json_columns, skip_segments, error_report,
 )}
