@@ -7,11 +7,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textquarry.operators.guard import HOT_SHARE, skewed_left_join  # noqa: F401
 from textquarry.session import shared_folder, steady
 
-#: A key that holds at least one row in HOT_SHARE is hot, so at most HOT_SHARE keys are: a proven bound for a broadcast.
-HOT_SHARE = 1000
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return steady(spark).read.parquet(f"{sf_dir}/{name}.parquet")
@@ -41,16 +39,3 @@ def fold(doc_id: Column, n: int) -> Column:
 
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def skewed_left_join(left: DataFrame, right: DataFrame, key: str, weight: str, total: int) -> DataFrame:
-    """left join right on key, where right has one row a key and in `weight` the key's rows on the left (of `total`).
-
-    The at most HOT_SHARE keys with a thousandth of all rows or more are broadcast and joined in place; all
-    others are shuffled, at every size, so no task gets more than a thousandth of the rows by one key.
-    """
-    is_hot = F.col(weight) * HOT_SHARE >= F.lit(total)
-    others = [c for c in right.columns if c != key]
-    first = left.join(F.broadcast(right.filter(is_hot).withColumn("_hot", F.lit(True))), key, "left")
-    rest = first.filter("_hot is null").drop(*others).join(right.filter(~is_hot).hint("merge"), key, "left")
-    return first.filter("_hot").unionByName(rest).drop("_hot")
